@@ -9,6 +9,7 @@ join or aggregate that follows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,20 +29,37 @@ BROADCAST_ROWS = 200_000
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the session's setting comes first."""
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="basketmatch-")
-    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it from there afterwards."""
-    scratch_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder once and read it from there.
+
+    Cuts the lineage like checkpoint(), but computes ``df`` only once, and the
+    row count of the result is in the file footers.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small table of few files one part per core; large ones stay as they are.
+
+    For steps that cost far more time than bytes. The row count (file footers)
+    is looked at first, so a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores and df.count() <= ROWS_PER_TASK:
+        return df.repartition(cores)
+    return df
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int | None = None) -> DataFrame:

@@ -270,10 +270,10 @@ def random_pick(t: Tables) -> DataFrame:
 
 _DAYS = """days AS (
   SELECT unnest(['Pazartesi', 'Salı', 'Çarşamba', 'Perşembe', 'Cuma', 'Cumartesi', 'Pazar']) AS day,
-    generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS at)"""
+    generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS day_no)"""
 
 _PLAN = """plan AS (
-  SELECT request_id AS session_id, day, any_value(at) AS at,
+  SELECT request_id AS session_id, day, any_value(day_no) AS day_no,
     arg_min(basket_id, md5('tea:' || request_id || ':' || day || ':' || basket_id)) AS basket_id,
     arg_min(title, md5('tea:' || request_id || ':' || day || ':' || basket_id)) AS title
   FROM ranked CROSS JOIN days GROUP BY 1, 2)"""
@@ -292,7 +292,7 @@ def weekly_plan(t: Tables) -> DataFrame:
 
 @query(
     with_views(*_SEARCH, _DAYS, _PLAN)
-    + """SELECT session_id, '{' || string_agg('"' || day || '":"' || title || '"', ',' ORDER BY at) || '}' AS plan
+    + """SELECT session_id, '{' || string_agg('"' || day || '":"' || title || '"', ',' ORDER BY day_no) || '}' AS plan
 FROM plan GROUP BY 1"""
 )
 def export_plan(t: Tables) -> DataFrame:
