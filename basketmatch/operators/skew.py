@@ -4,6 +4,10 @@ A key may hold a third of all rows. The helpers find such keys with one
 map-side-combined count, and then split only those keys; all others take the
 ordinary path. Nothing is dropped: a split key is put together again by the
 join or aggregate that follows.
+
+The count reads the left side once more, so ``join_skewed`` is for stored
+tables (or ``checkpointed`` results). Joins on freshly derived rows are left to
+Spark, whose adaptive execution splits large partitions as it finds them.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ MAX_SALTS = 256
 # The list of hot keys is broadcast. It cannot grow: a key that ranks below the
 # first 1024 holds less than a 1024th of the rows and needs no split.
 MAX_HOT_KEYS = 1024
-# A lookup side is broadcast up to this many (narrow) rows, counted first.
-BROADCAST_ROWS = 200_000
+# A lookup side is broadcast up to this many rows, counted first. Lookups are
+# narrow (ids, a name), so this is some tens of megabytes.
+BROADCAST_ROWS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:

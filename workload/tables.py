@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketmatch.operators.skew import checkpointed
+
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -34,14 +36,17 @@ class Tables:
         return self.items().withColumn("name", name)
 
     def bridge(self) -> DataFrame:
+        """Derived once and stored, as a catalogue would have it."""
         lines = self.raw("lineitem")
-        return lines.select(
-            F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("item_id")
-        ).distinct()
+        return checkpointed(
+            lines.select(
+                F.col("l_orderkey").alias("basket_id"), F.col("l_partkey").alias("item_id")
+            ).distinct()
+        )
 
     def stock(self) -> DataFrame:
         lines, suppliers = self.raw("lineitem"), self.raw("supplier")
-        return (
+        return checkpointed(
             lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
             .groupBy(
                 F.col("s_nationkey").cast("bigint").alias("owner_id"),
