@@ -269,7 +269,7 @@ def suggest_items(t: Tables) -> DataFrame:
     n = F.col("c_custkey")
     typed = F.substring(F.col("c_mktsegment"), F.lit(1), (1 + n % 2).cast("int"))
     queries = t.raw("customer").select(n.alias("query_id"), typed.alias("query"))
-    return suggest(t.items(), queries)
+    return suggest(t.items(), queries).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _NORM = "translate(lower(trim({0}, E' \\t\\n\\r\\x0b')), 'ıçğöşü', 'icgosu')"
