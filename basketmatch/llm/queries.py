@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketmatch.llm import bpe, decontaminate, line_dedup, near_dedup, toxicity
+from basketmatch.llm import bpe, decontaminate, fingerprints, language_id, line_dedup, near_dedup, secrets, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,16 +34,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query(
     r"""
     with item_words as (
-      select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') w
+      select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w
       from benchmark where item_id is not null),
     doc_words as (
-      select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') w
+      select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') w
       from documents where doc_id is not null),
     items as (
-      select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> w[i:i + 4])
+      select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
         when len(w) > 0 then [w] else [] end) s from item_words),
     docs as (
-      select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> w[i:i + 4])
+      select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
         when len(w) > 0 then [w] else [] end) s from doc_words),
     sizes as (select item_id, count(*) n_shingles from items group by item_id)
     select doc_id, item_id, n_shingles, count(*) n_found, count(*) / n_shingles containment
@@ -54,6 +56,13 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query()
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    model = Path(public_tokenizers.path(token_counts.MODEL)).read_bytes()
+    return token_counts.token_counts(table(spark, folder, "documents"), model)
+
+
 @query()
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Expected severity of every document, by a model of the labelled ones."""
@@ -61,6 +70,54 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.severity(docs, toxicity.fit(docs, table(spark, folder, "labels")))
 
 
+@query()
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edit_fingerprints(table(spark, folder, "documents"))
+
+
+#: The rules of the url query.
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query(
+    r"""
+    with parsed as (
+      select page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) path from pages),
+    rules (rule_host, rule_path, rule_verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+      ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    best as (
+      select host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) rule,
+        arg_max(rule_verdict, length(rule_host || rule_path)) verdict
+      from (select distinct host, path from parsed) p join rules
+        on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+      group by host, path),
+    formed as (
+      select page_id, host, path, rule, verdict, case when contains(url, '://') then
+        regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/)$', '') ||
+        coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+          lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref)=')), '&'), ''), '') end form
+      from parsed left join best using (host, path)),
+    classes as (select form, min(verdict) class_rule from formed where rule is not null and form is not null group by form)
+    select page_id, host, path, rule, coalesce(verdict, class_rule, 'allow') verdict, class_rule
+    from formed left join classes using (form)
+    """
+)
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's host, path, rule and verdict. (The SQL knows aliases by form alone;
+    the driver's pages have no canonical links or refreshes.)"""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judged(table(spark, folder, "pages"), rules)
+
+
 @query()
 def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its group of near duplicates."""
@@ -74,8 +131,25 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks), ranks))
 
 
+@query()
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, folder, "documents")
+    net = language_id.fit(docs.where(language_id.learnable(F.col("doc_id"))))
+    out = language_id.predicted(docs, net)
+    crc = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    return out.select("doc_id", (crc == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op9_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The secrets of every document."""
+    words = secrets.word_ranks(public_tokenizers.path(bpe.RANKS))
+    return secrets.secrets(table(spark, folder, "documents"), words)
+
+
 @query()
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the runs of lines that repeat earlier ones."""
     out = line_dedup.dedup_lines(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_lines", "removed", "text")
+    return out.select("doc_id", "removed", "text")
