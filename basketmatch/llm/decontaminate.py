@@ -91,4 +91,4 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item. A null doc_id stays."""
     bad = stored(contaminated(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))

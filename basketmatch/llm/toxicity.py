@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketmatch.llm.wordhash import LETTERS, mix, word_hashes
+from basketmatch.llm.wordhash import LETTERS, word_hashes
 
 #: Labelled documents that a model is fitted on, at most; they are picked by hash.
 MAX_LABELLED = 8_000
@@ -96,23 +96,6 @@ def _sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     return texts.mapInPandas(_count, "toxic int, n_words long, words array<long>, times array<long>").toArrow().to_pandas()
 
 
-def _unlike(texts: pd.Series) -> np.ndarray:
-    """Which texts of a sample are empty or no copy or near copy of an earlier one.
-
-    Two texts are alike if they agree in all of some four minima of their words'
-    hashes; near copies would otherwise give weight to the words they share.
-    """
-    keep, seen = np.ones(len(texts), bool), set()
-    seeds = mix(np.arange(1, 25, dtype=np.uint64))
-    for i, words in enumerate(texts):
-        if len(words):
-            least = mix(np.asarray(words, np.int64).view(np.uint64)[:, None] ^ seeds).min(0).reshape(6, 4)
-            keys = {(band, row.tobytes()) for band, row in enumerate(least)}
-            keep[i] = not keys & seen
-            seen |= keys
-    return keep
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on documents labelled 0 or 1 (``labels``: doc_id, toxic).
 
@@ -123,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model gives severity 0 to everything.
     """
     sample = _sample(docs, labels)
-    sample = sample[_unlike(sample["words"])].reset_index(drop=True)
+    sample = sample[~sample["words"].map(lambda w: w.tobytes()).duplicated()].reset_index(drop=True)
     toxic = sample["toxic"].to_numpy(np.int64) > 0
     if len(sample) == 0 or toxic.all() or not toxic.any():
         return Model()
