@@ -89,7 +89,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     marks = at.select(*_KEY, "g", F.explode(chosen).alias("pos")).select(*_KEY, "pos", F.get("g", F.col("pos")).alias("gram"))
 
     first = marks.groupBy("gram").agg(F.min(F.struct(*_KEY, "pos")).alias("src"), F.count("*").alias("times"))
-    first = first.where("times > 1").drop("times")
+    # Written, so that the join has a plain exchange on either side and a very
+    # common line can be split.
+    first = stored(first.where("times > 1").drop("times"), "first")
     met = marks.join(first, "gram")
     # Within a document a mark looks back at the one before, so that a line repeated
     # many times gives one distance and not one for every repeat.
@@ -122,10 +124,10 @@ def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with a text without later repeated runs, and n_lines, removed (array of s, e).
+    """``docs`` with a text without later repeated runs, and removed (array of s, e).
 
-    ``docs`` needs doc_id and text; its other columns stay, but for any that are
-    named n_lines or removed, which are replaced. Lines end at a newline, or at
+    ``docs`` needs doc_id and text; its other columns stay, but for any that is
+    named removed, which is replaced. Lines end at a newline, or at
     ``. ! ?`` and a blank, and are equal if they are but for case and outer blanks.
     A gram is two lines in a row, or one line of 50 words. Of any two grams in a row
     the smaller hash is a fingerprint. Each fingerprint is laid beside its first
@@ -138,17 +140,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts come back unchanged. Rows that repeat doc_id and text are
     one document. A text that is a repeat as a whole becomes empty.
     """
-    keep = [c for c in docs.columns if c not in ("n_lines", "removed")]
-    docs = docs.select(*keep)
-    runs = stored(repeated_runs(docs), "runs").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "runs")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(runs, keyed["doc_id"].eqNullSafe(runs["_id"]) & (keyed["_key"] == runs["_th"]), "left")
-    left = F.filter("_lines", lambda line, i: ~F.exists("runs", lambda r: (r["s"] <= i) & (i <= r["e"])))
-    joined = joined.withColumn("_lines", lines(F.col("text")))
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, ""))
-    removed = F.coalesce("runs", F.array().cast("array<struct<s:int,e:int>>"))
-    return joined.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in keep),
-        F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"),
-        removed.alias("removed"),
-    )
+    keep = [c for c in docs.columns if c != "removed"]
+    docs = docs.select(*(f"`{c}`" for c in keep))
+    runs = stored(repeated_runs(docs), "runs").toDF("_dedup_id", "_dedup_th", "_dedup_runs")
+    keyed = docs.withColumn("_dedup_key", F.xxhash64("text"))
+    # Merged at any size: what is broadcast would grow with the documents.
+    on = keyed["doc_id"].eqNullSafe(runs["_dedup_id"]) & (keyed["_dedup_key"] == runs["_dedup_th"])
+    joined = keyed.join(runs.hint("merge"), on, "left")
+    found = F.col("_dedup_runs")
+    left = F.filter(lines(F.col("text")), lambda line, i: ~F.exists(found, lambda r: (r["s"] <= i) & (i <= r["e"])))
+    text = F.when(found.isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+    removed = F.coalesce(found, F.array().cast("array<struct<s:int,e:int>>"))
+    return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep), removed.alias("removed"))
