@@ -119,7 +119,7 @@ def test_secrets_and_their_places(spark, make):
     assert got[102].spans == "access:0:20,hex:34:58"
     assert got[103].spans == ""
     assert got[104].n_guess == 2 and got[104].spans.startswith("guess:7:19,")
-    assert got[105].spans == ""
+    assert got[105].spans == "assign:16:30"
     for r in got.values():
         base = ",".join(s for s in r.spans.split(",") if s and not s.startswith("guess"))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
