@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketmatch.llm.scratch import stored
+from basketmatch.llm.slices import map_slices
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose distinct words are gathered before they are shuffled, and
 #: documents whose positions go in one row. Longer texts stay whole.
-CHUNK_TOKENS, ROW_DOCUMENTS = 4_000_000, 256
+CHUNK_TOKENS, ROW_DOCUMENTS = 1_500_000, 256
 #: Words that an encoding task remembers.
-REMEMBERED = 2_000_000
+REMEMBERED = 300_000
 #: White space as the rank files' pattern means it: Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -84,11 +85,10 @@ def _chunk(split: Callable[[str], list[str]], buckets: int) -> Callable[[Iterato
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, seen, tokens = [], {}, 0
         for batch in batches:
-            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-            for doc_id, text in zip(ids, batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 found = split(text or "")
-                positions = np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int64, len(found))
-                docs.append((None if doc_id is None else int(doc_id), positions))
+                positions = np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.int32, len(found))
+                docs.append((None if pd.isna(doc_id) else int(doc_id), positions))
                 tokens += len(found)
                 if tokens >= CHUNK_TOKENS:
                     yield from rows(docs, seen, np.bincount(np.concatenate([p for _, p in docs]), minlength=len(seen)))
@@ -172,9 +172,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = _chunk(splitter(), buckets)
-    chunks = stored(docs.select("doc_id", "text").mapInPandas(cut, _CHUNKS), "chunks")
+    chunks = stored(map_slices(docs.select("doc_id", "text"), cut, _CHUNKS), "chunks")
     words = chunks.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    words = words.mapInPandas(_encode_words(ranks), _CHUNKS)
+    words = map_slices(words, _encode_words(ranks), _CHUNKS)
     texts = chunks.where("bucket < 0")
     return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_assemble, "doc_id long, ids array<int>")
 
@@ -196,7 +196,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     kept = [f for f in encoded.schema.fields if f.name != "bytes"]
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return encoded.select(*(f"`{f.name}`" for f in kept)).mapInPandas(run, f"{names}, bytes binary")
+    return map_slices(encoded.select(*(f"`{f.name}`" for f in kept)), run, f"{names}, bytes binary")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketmatch.llm.slices import map_slices
 from basketmatch.llm.wordhash import mix
 
 #: A paragraph's vector: 16 lanes modulo 2**64 that decide equality, filled from
@@ -101,7 +102,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fingerprint": [str(Fingerprint(t)) for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fingerprint string")
+    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, fingerprint string")
 
 
 def _bounds(docs: DataFrame) -> np.ndarray:
@@ -176,7 +177,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInPandas(run, schema)
+    return map_slices(with_next(docs), run, schema)
 
 
 def _edit(doc_id: float, text: str, mine: Fingerprint, following: str, next_one: Fingerprint) -> tuple:

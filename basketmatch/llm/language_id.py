@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketmatch.llm.slices import map_slices
+
 #: Labelled documents and windows of each that a language is learned from, at most.
 PER_LANGUAGE, PER_DOCUMENT = 300, 3
 #: Bytes of a window, of an embedding, filters of each width.
@@ -135,7 +137,7 @@ def fit(docs: DataFrame) -> Network:
                     rows.append((lang, place, x[at].tobytes()))
             yield pd.DataFrame(rows, columns=["lang", "draw", "windows"])
 
-    sample = picked.mapInPandas(cut, "lang string, draw long, windows binary").toArrow().to_pandas()
+    sample = map_slices(picked, cut, "lang string, draw long, windows binary").toArrow().to_pandas()
     sample = sample.sort_values(["lang", "draw", "windows"]).groupby("lang", sort=False).head(PER_LANGUAGE)
     if not len(sample):
         return Network()
@@ -171,4 +173,4 @@ def predicted(docs: DataFrame, net: Network) -> DataFrame:
                 scores.append(float(share.max()))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": names, "score": scores})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from basketmatch.llm.components import components
 from basketmatch.llm.scratch import stored
+from basketmatch.llm.slices import map_slices
 from basketmatch.llm.wordhash import SPACED, mix, shingles, word_hashes
 
 #: Words in a shingle and least similarity, in hundredths, of a link.
@@ -103,7 +104,7 @@ _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<lon
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): size and 128-bit name of its shingle set, band keys, odd sketch."""
-    return docs.select("doc_id", "text").mapInPandas(_sign, _SIGNED)
+    return map_slices(docs.select("doc_id", "text"), _sign, _SIGNED)
 
 
 def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +126,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInPandas(_list, "id long, members array<long>"), "sets")
+    sets = stored(map_slices(texts, _list, "id long, members array<long>"), "sets")
     # A document that comes in several rows has a set for each; any may make the link.
     sides = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("of_b")), "b")
     sides = sides.join(sets.select(F.col("id").alias("a"), F.col("members").alias("of_a")), "a")

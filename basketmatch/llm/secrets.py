@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from basketmatch.llm.bpe import read_ranks
+from basketmatch.llm.slices import map_slices
 
 #: Kinds in the order in which spans that begin together are listed; ``guess`` is added.
 KINDS = ("assign", "access", "hex", "guess")
@@ -153,6 +154,6 @@ def secrets(docs: DataFrame, words: dict[str, int]) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
+    return map_slices(
+        docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
     )

@@ -9,6 +9,8 @@ import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from basketmatch.llm.slices import map_slices
+
 MODEL = "piece_bpe_32k.model"
 #: Tokens that a document may have.
 LIMIT = 4096
@@ -97,4 +99,4 @@ def token_counts(docs: DataFrame, model: bytes, limit: int = LIMIT) -> DataFrame
             size = [len(t.encode("utf-8", "replace")) if t else 0 for t in texts]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": size, "n_tokens": n, "over_limit": [k > limit for k in n]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketmatch.llm.slices import filter_slices, map_slices
 from basketmatch.llm.wordhash import LETTERS, word_hashes
 
 #: Labelled documents that a model is fitted on, at most; they are picked by hash.
-MAX_LABELLED = 8_000
+MAX_LABELLED = 4_000
 #: A feature is a word of so many labelled texts at least, whose toxic share surely
 #: (lower Wilson bound at so many deviations) is this many times the toxic share of
 #: all; the surest are taken. Rarer words and equal texts would only learn noise.
@@ -80,7 +81,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "toxic": batch["toxic"].iloc[first : first + len(counted)].to_numpy(),
                 "n_words": np.diff(at),
                 "words": [w.view(np.int64) for w, _ in counted],
-                "times": [c for _, c in counted],
+                "times": [c.astype(np.int32) for _, c in counted],
             })
 
 
@@ -93,7 +94,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> pd.DataFrame:
     picked = labels.where(draw < int(keep * (1 << 30))).orderBy(draw, "_id").limit(MAX_LABELLED)
     # The sample's ids and labels are bounded by MAX_LABELLED.
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.expr("doc_id = _id")).select("text", "toxic")
-    return texts.mapInPandas(_count, "toxic int, n_words long, words array<long>, times array<long>").toArrow().to_pandas()
+    return map_slices(texts, _count, "toxic int, n_words long, words array<long>, times array<int>").toArrow().to_pandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -153,20 +154,19 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
                     "n_words": np.diff(at), "severity": grade, "toxic": grade >= REJECT,
                 })
 
-    return docs.select("doc_id", "text").mapInPandas(score, "doc_id long, n_words long, severity double, toxic boolean")
+    return map_slices(docs.select("doc_id", "text"), score, "doc_id long, n_words long, severity double, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows whose text is toxic; scored row by row, without a shuffle."""
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            bad = np.zeros(len(batch), bool)
-            for first, words, at in word_hashes(batch["text"].tolist(), LETTERS, PREFIXES):
-                bad[first : first + len(at) - 1] = _severity(model, words, at) >= REJECT
-            yield batch[~bad]
+    def keep(texts: list[str | None]) -> list[bool]:
+        clean = np.ones(len(texts), bool)
+        for first, words, at in word_hashes(texts, LETTERS, PREFIXES):
+            clean[first : first + len(at) - 1] = _severity(model, words, at) < REJECT
+        return clean.tolist()
 
-    return docs.mapInPandas(keep, docs.schema)
+    return filter_slices(docs, "text", keep)
 
 
 def _severity(model: Model, words: np.ndarray, at: np.ndarray) -> np.ndarray:
