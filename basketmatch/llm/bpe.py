@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import uuid
 import zlib
@@ -15,7 +16,7 @@ import regex
 import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from basketmatch.llm.scratch import stored
 from basketmatch.llm.slices import map_slices
@@ -23,7 +24,7 @@ from basketmatch.llm.slices import map_slices
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pre-tokens whose distinct words are gathered before they are shuffled, and
 #: documents whose positions go in one row. Longer texts stay whole.
-CHUNK_TOKENS, ROW_DOCUMENTS = 1_500_000, 256
+CHUNK_TOKENS, ROW_DOCUMENTS = 4_000_000, 256
 #: Words that an encoding task remembers.
 REMEMBERED = 300_000
 #: White space as the rank files' pattern means it: Unicode's White_Space.
@@ -44,14 +45,14 @@ def splitter() -> Callable[[str], list[str]]:
     return regex.compile(pattern).findall
 
 
-def _packed(numbers: np.ndarray) -> bytes:
+def _packed(numbers: np.ndarray, level: int = 9) -> bytes:
     """Numbers of seven bits a byte, low bits first, compressed."""
     numbers = np.asarray(numbers, np.uint32)
     parts = (numbers[:, None] >> (7 * np.arange(5, dtype=np.uint32))).astype(np.uint32)
     more = parts >= 128
     used = np.ones(parts.shape, bool)
     used[:, 1:] = more[:, :-1]
-    return zstandard.compress(((parts & 127) | (more << 7)).astype(np.uint8)[used].tobytes(), 3)
+    return zstandard.compress(((parts & 127) | (more << 7)).astype(np.uint8)[used].tobytes(), level)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
@@ -84,6 +85,13 @@ def _chunk(split: Callable[[str], list[str]], buckets: int) -> Callable[[Iterato
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         docs, seen, tokens = [], {}, 0
+
+        def counts() -> np.ndarray:
+            total = np.zeros(len(seen), np.int64)
+            for _, positions in docs:
+                np.add.at(total, positions, 1)
+            return total
+
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 found = split(text or "")
@@ -91,10 +99,10 @@ def _chunk(split: Callable[[str], list[str]], buckets: int) -> Callable[[Iterato
                 docs.append((None if pd.isna(doc_id) else int(doc_id), positions))
                 tokens += len(found)
                 if tokens >= CHUNK_TOKENS:
-                    yield from rows(docs, seen, np.bincount(np.concatenate([p for _, p in docs]), minlength=len(seen)))
+                    yield from rows(docs, seen, counts())
                     docs, seen, tokens = [], {}, 0
         if docs:
-            yield from rows(docs, seen, np.bincount(np.concatenate([p for _, p in docs]), minlength=len(seen)))
+            yield from rows(docs, seen, counts())
 
     return run
 
@@ -129,7 +137,7 @@ def _encode_words(ranks: dict[bytes, int]) -> Callable[[Iterator[pd.DataFrame]],
     return run
 
 
-def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+def _ids(docs: pd.DataFrame, words: pd.DataFrame) -> Iterator[tuple[int | None, np.ndarray]]:
     """The ids of a chunk's documents: word numbers by position, replaced by the words' ids."""
     total = int(words["size"].sum())
     length, flat = np.zeros(total, np.int64), []
@@ -143,7 +151,6 @@ def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     flat = np.concatenate(flat) if flat else np.empty(0, np.uint32)
     begin = np.zeros(total, np.int64)
     begin[order] = np.concatenate([[0], np.cumsum(length[order])[:-1]]) if total else 0
-    ids, tokens = [], []
     for row in docs.itertuples():
         positions, sizes = _unpacked(row.payload), _unpacked(row.numbers)
         n = length[positions]
@@ -151,9 +158,13 @@ def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         at = np.repeat(begin[positions] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
         out = flat[at].astype(np.int32)
-        ids += list(row.ids)
-        tokens += [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-    return pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"), "ids": tokens})
+        for doc_id, a, b in zip(row.ids, cuts[:-1], cuts[1:]):
+            yield None if pd.isna(doc_id) else int(doc_id), out[a:b]
+
+
+def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+    found = list(_ids(docs, words))
+    return pd.DataFrame({"doc_id": pd.array([d for d, _ in found], "Int64"), "ids": [i for _, i in found]})
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -169,14 +180,30 @@ def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     A null or empty text has no ids. Repeated rows give repeated rows; a null
     doc_id stays null; extra columns are ignored.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts, words = _chunks(docs, ranks)
+    return texts.cogroup(words).applyInPandas(_assemble, "doc_id long, ids array<int>")
+
+
+def _chunks(docs: DataFrame, ranks: dict[bytes, int]) -> tuple[GroupedData, GroupedData]:
+    """Positions and encoded words, both by chunk."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = _chunk(splitter(), buckets)
     chunks = stored(map_slices(docs.select("doc_id", "text"), cut, _CHUNKS), "chunks")
     words = chunks.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     words = map_slices(words, _encode_words(ranks), _CHUNKS)
-    texts = chunks.where("bucket < 0")
-    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_assemble, "doc_id long, ids array<int>")
+    return chunks.where("bucket < 0").groupBy("chunk"), words.groupBy("chunk")
+
+
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The token-byte table, by id."""
+    table = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def _joined(table: list[bytes], ids: np.ndarray) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -185,13 +212,11 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     The ids meet the token-byte table, which is as large as the vocabulary and goes
     to all tasks. Null ids give null bytes; an unknown id fails.
     """
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+    table = token_bytes(ranks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["bytes"] = [None if ids is None else b"".join(map(table.__getitem__, ids.tolist())) for ids in batch["ids"]]
+            batch["bytes"] = [None if ids is None else _joined(table, ids) for ids in batch["ids"]]
             yield batch
 
     kept = [f for f in encoded.schema.fields if f.name != "bytes"]
@@ -199,11 +224,21 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return map_slices(encoded.select(*(f"`{f.name}`" for f in kept)), run, f"{names}, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by one blank) and of the bytes."""
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
-    )
+def digests(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """Encode and decode ``docs`` in one go: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    The same steps as ``encode`` and ``decode``; ids and bytes are hashed where they
+    are made. SHA-256 in hex, of the decimal ids joined by one blank and of the bytes.
+    """
+    table = token_bytes(ranks)
+
+    def run(texts: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for doc_id, ids in _ids(texts, words):
+            listed = " ".join(map(str, ids.tolist())).encode()
+            rows.append((doc_id, len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(_joined(table, ids)).hexdigest()))
+        out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return out.astype({"doc_id": "Int64"})
+
+    texts, words = _chunks(docs, ranks)
+    return texts.cogroup(words).applyInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -128,7 +128,7 @@ def op6_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS))
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks), ranks))
+    return bpe.digests(table(spark, folder, "documents"), ranks)
 
 
 @query()

@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.RANKS))
-    return bpe.digests(bpe.decode(bpe.encode(docs, ranks), ranks))
+    return bpe.digests(docs, ranks)
 
 
 STAGES = [
