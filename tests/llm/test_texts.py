@@ -34,8 +34,10 @@ def test_bpe_equals_the_library_and_decodes_to_the_text(spark, make):
     ranks = bpe.read_ranks(P.path(bpe.RANKS))
     assert ranks == {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(bpe.RANKS), "rb"))}
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    encoded = bpe.encode(make(ROWS + [(None, "x y"), (0, TEXTS[0])]), ranks)
-    out = bpe.digests(bpe.decode(encoded, ranks)).collect()
+    docs = make(ROWS + [(None, "x y"), (0, TEXTS[0])])
+    decoded = {r.doc_id: (list(r.ids), bytes(r.bytes)) for r in bpe.decode(bpe.encode(docs, ranks), ranks).collect()}
+    assert decoded == {d: (library.encode_ordinary(t or ""), (t or "").encode()) for d, t in ROWS + [(None, "x y")]}
+    out = bpe.digests(docs, ranks).collect()
     assert len(out) == len(ROWS) + 2
     by_id = {r.doc_id: r for r in out}
     for i, t in ROWS:
