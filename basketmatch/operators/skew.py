@@ -12,7 +12,6 @@ Spark, whose adaptive execution splits large partitions as it finds them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -22,25 +21,18 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ROWS_PER_TASK = 1_000_000
-MAX_SALTS = 256
-# The list of hot keys is broadcast. It cannot grow: a key that ranks below the
-# first 1024 holds less than a 1024th of the rows and needs no split.
-MAX_HOT_KEYS = 1024
+# Rows without a key match nothing; they are spread over so many parts.
+NULL_SALTS = 256
 # A lookup side is broadcast up to this many rows, counted first. Lookups are
 # narrow (ids, a name), so this is some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's setting comes first."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="basketmatch-")
-        sc.setCheckpointDir(folder)
-    return folder
+    """The shared folder for intermediate tables: the session's checkpoint folder, else
+    one in its warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/basketmatch-scratch"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -68,16 +60,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], rows_per_task: int | None = None) -> DataFrame:
-    """Keys with more than ``rows_per_task`` rows and the number of parts for each."""
+    """Keys with more than ``rows_per_task`` rows and the number of parts for each.
+
+    There are fewer of them than rows / ``rows_per_task``, a millionth of the rows
+    as a rule, which is why callers may broadcast them.
+    """
     limit = rows_per_task or ROWS_PER_TASK
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    parts = F.least(F.lit(MAX_SALTS), F.ceil(F.col("_rows") / limit)).cast("int")
-    return (
-        counts.filter(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"), *on)
-        .limit(MAX_HOT_KEYS)
-        .select(*on, parts.alias("_parts"))
-    )
+    parts = F.ceil(F.col("_rows") / limit).cast("int")
+    return counts.filter(F.col("_rows") > limit).select(*on, parts.alias("_parts"))
 
 
 def join_skewed(
@@ -102,7 +93,7 @@ def join_skewed(
     for name in on:
         no_key = no_key | F.col(name).isNull()
     salt = (
-        F.when(no_key, F.pmod(spread, F.lit(MAX_SALTS)))
+        F.when(no_key, F.pmod(spread, F.lit(NULL_SALTS)))
         .when(F.col("_parts").isNull(), F.lit(0))
         .otherwise(F.pmod(spread, F.col("_parts")))
     )
@@ -128,10 +119,14 @@ def join_lookup(
 def number_rows(df: DataFrame, seq: str, name: str, width: int = ROWS_PER_TASK) -> DataFrame:
     """Number rows 1, 2, 3, ... in the order of the unique whole number ``seq``.
 
-    Ranges of ``width`` values are numbered side by side; only the list of range
-    sizes (one row per range) is summed up in order.
+    Ranges of values are numbered side by side; only the list of range sizes is
+    summed up in order. Ranges are as wide as it takes for ``width`` rows on
+    average, so the list has a row for each ``width`` rows and not for each value,
+    however far the values lie apart.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / width))
+    low, high, n = df.agg(F.min(seq), F.max(seq), F.count(F.lit(1))).first()
+    step = max(width, -(-(high - low + 1) * width // n)) if n else width
+    ranged = df.withColumn("_range", F.floor((F.col(seq) - F.lit(low or 0)) / step))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
@@ -156,12 +151,12 @@ def _minute(df: DataFrame, at: str) -> Column:
 def slice_hot_keys(
     log: DataFrame, keys: Sequence[str], at: str, rows_per_task: int | None = None
 ) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, the minute of ``at`` for hot ones."""
+    """Add ``_slice``: null for ordinary keys, the minute of ``at`` for hot ones."""
     keys = list(keys)
     hot = F.broadcast(hot_keys(log, keys, rows_per_task))
     return (
         log.join(hot, keys, "left")
-        .withColumn("_slice", F.when(F.col("_parts").isNull(), 0).otherwise(_minute(log, at)))
+        .withColumn("_slice", F.when(F.col("_parts").isNotNull(), _minute(log, at)))
         .drop("_parts")
     )
 
@@ -180,7 +175,7 @@ def running_sum(
     sliced = slice_hot_keys(log.withColumn("_value", value), keys, at, rows_per_task)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.filter(F.col("_slice") != 0)
+        sliced.filter(F.col("_slice").isNotNull())
         .groupBy(*keys, "_slice")
         .agg(F.sum("_value").alias("_sum"))
         .select(*keys, "_slice", F.sum("_sum").over(before).alias("_before"))
@@ -210,7 +205,7 @@ def previous_value(
     keys = list(keys)
     sliced = slice_hot_keys(log, keys, at, rows_per_task)
     carried = (
-        sliced.filter(F.col("_slice") != 0)
+        sliced.filter(F.col("_slice").isNotNull())
         .groupBy(*keys, "_slice")
         .agg(F.max_by(value, F.struct(at, seq)).alias("_last"))
         .select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,11 +44,28 @@ def read_catalog_jdbc(
 
 
 def load_seed(
-    spark: SparkSession, path: str, table: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    table: str,
+    schema: T.StructType | None = None,
+    format: str | None = None,
 ) -> DataFrame:
-    """Rows of a CSV (with header) or JSON-lines file, defaults filled in."""
-    reader = spark.read.schema(schema or SCHEMAS[table])
-    rows = reader.csv(path, header=True) if path.endswith(".csv") else reader.json(path)
+    """Rows of CSV (with header; texts may hold line breaks) or JSON lines, defaults filled in.
+
+    ``format`` is ``csv`` or ``json``; without it the name decides (``.csv``, ``.json``,
+    ``.jsonl``, each also compressed), and any other name is refused. A value that does
+    not fit the schema fails the read instead of turning null.
+    """
+    if format is None:
+        named = re.search(r"\.(csv|json|jsonl)(\.\w+)?/?$", path)
+        if named is None:
+            raise ValueError(f"name the format of {path!r}: csv or json")
+        format = "csv" if named[1] == "csv" else "json"
+    reader = spark.read.schema(schema or SCHEMAS[table]).option("mode", "FAILFAST")
+    if format == "csv":
+        rows = reader.csv(path, header=True, multiLine=True, escape='"')
+    else:
+        rows = reader.json(path)
     return apply_defaults(rows, table)
 
 

@@ -7,7 +7,7 @@ order, however the rows lie in the table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketmatch.functions.text import trim_blanks
@@ -20,15 +20,28 @@ ADDED, ALREADY, INVALID, REMOVED = "added", "already there", "invalid", "removed
 _KEY = ["scope_id", "key"]
 
 
+def named_changes(log: DataFrame) -> DataFrame:
+    """``log`` with outer blanks taken off its keys, which are one key with and without."""
+    if log.schema["key"].dataType.typeName() != "string":
+        return log
+    return log.withColumn("key", trim_blanks("key"))
+
+
+def _has_name() -> Column:
+    return F.coalesce(F.col("key").cast("string"), F.lit("")) != ""
+
+
 def surviving_changes(log: DataFrame, set_creates: bool = False) -> DataFrame:
     """Per key the first add after its last removal, and the last set after that removal.
 
     Returns (scope_id, key, first, last) with ``first`` and ``last`` as structs
-    (ts, seq, value); ``first`` is the change that made the key present.
+    (ts, seq, value); ``first`` is the change that made the key present. Keys are
+    trimmed; changes of a blank key are left out.
     """
+    log = named_changes(log)
     when = F.struct("ts", "seq")
     op = F.col("op")
-    keyed = log.filter(op.isin(ADD, SET, REMOVE)).filter(F.col("key").isNotNull())
+    keyed = log.filter(op.isin(ADD, SET, REMOVE)).filter(_has_name())
     removed = keyed.groupBy(*_KEY).agg(F.max(F.when(op == REMOVE, when)).alias("_removed"))
     cleared = log.filter(op == CLEAR).groupBy("scope_id").agg(F.max(when).alias("_cleared"))
     gone = (
@@ -110,13 +123,15 @@ def change_results(log: DataFrame, rows_per_task: int | None = None) -> DataFram
 
     An add finds its key present when the change before it, since the scope's
     last clear, was an add. Removing what is not there succeeds all the same.
+    Keys are trimmed; a blank one is invalid and changes no state.
     """
+    log = named_changes(log)
     op = F.col("op")
     is_clear = F.when(op == CLEAR, 1).otherwise(0)
     life = running_sum(
         log.filter(op.isin(ADD, REMOVE, CLEAR)), ["scope_id"], "ts", "seq", is_clear, "_life", rows_per_task
     ).filter(op != CLEAR)
-    named = F.coalesce(trim_blanks(F.col("key").cast("string")), F.lit("")) != ""
+    named = _has_name()
     valid = previous_value(
         life.filter(named), [*_KEY, "_life"], "ts", "seq", "op", "_before", rows_per_task
     )

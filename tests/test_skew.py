@@ -61,3 +61,31 @@ def test_checkpointed_keeps_rows_and_schema(spark):
     stored = skew.checkpointed(df)
     assert stored.schema == df.schema
     assert sorted(map(str, stored.collect())) == sorted(map(str, df.collect()))
+
+
+def test_hot_key_from_before_time_zero(spark):
+    """Minute 0 and minutes before 1970 are slices like any other."""
+    from datetime import datetime
+
+    times = [datetime(1969, 12, 31, 23, 58, 50), datetime(1970, 1, 1), datetime(1970, 1, 1, 0, 1, 10), datetime(1970, 1, 1, 0, 2, 10)]
+    df = spark.createDataFrame([("a", t, i) for i, t in enumerate(times)], "k string, ts timestamp_ntz, seq bigint")
+    for limit in (1, 100):
+        got = skew.running_sum(df, ["k"], "ts", "seq", F.lit(1), "n", limit).orderBy("seq").collect()
+        assert [r.n for r in got] == [1, 2, 3, 4]
+        got = skew.previous_value(df, ["k"], "ts", "seq", "seq", "p", limit).orderBy("seq").collect()
+        assert [r.p for r in got] == [None, 0, 1, 2]
+
+
+def test_every_hot_key_is_split(spark):
+    df = spark.range(3000).select((F.col("id") % 1500).alias("k"), "id")
+    hot = skew.hot_keys(df, ["k"], 1)
+    assert hot.count() == 1500 and {r._parts for r in hot.collect()} == {2}
+    big = spark.range(1000).select(F.lit(1).alias("k"))
+    assert skew.hot_keys(big, ["k"], 2).first()._parts == 500
+
+
+def test_sparse_numbers_make_few_ranges(spark):
+    df = spark.createDataFrame([(s * 10**12 - 7,) for s in range(40)], "seq bigint")
+    numbered = skew.number_rows(df, "seq", "no", width=10)
+    assert sorted((r.no, r.seq) for r in numbered.collect()) == [(i + 1, i * 10**12 - 7) for i in range(40)]
+    assert skew.number_rows(df.limit(0), "seq", "no").count() == 0

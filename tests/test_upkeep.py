@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from conftest import BRIDGE, at, table
 
 from basketmatch.operators import link, skew, upkeep
@@ -121,3 +123,21 @@ def test_readers(spark, catalog, tmp_path):
     options = readers.jdbc_options("jdbc:x", "items", "id", 1, 9, 4)
     assert options["partitionColumn"] == "id" and options["numPartitions"] == "4"
     assert "partitionColumn" not in readers.jdbc_options("jdbc:x", "items")
+
+
+def test_seed_files_by_name_and_by_format(spark, tmp_path):
+    import gzip
+
+    text = 'item_id,name,category,created_at\n1,"nar\nve ""su""",,\n'
+    (tmp_path / "seed.csv.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "seed.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "seed.jsonl").write_text('{"item_id": 2, "name": "erik"}\n', encoding="utf-8")
+    (tmp_path / "bad.csv").write_text("item_id,name,category,created_at\nx1,nar,,\n", encoding="utf-8")
+    for name, format in (("seed.csv.gz", None), ("seed.txt", "csv")):
+        rows = readers.load_seed(spark, str(tmp_path / name), "items", format=format).collect()
+        assert [(r.item_id, r.name, r.category) for r in rows] == [(1, 'nar\nve "su"', "diğer")]
+    assert [r.name for r in readers.load_seed(spark, str(tmp_path / "seed.jsonl"), "items").collect()] == ["erik"]
+    with pytest.raises(ValueError):
+        readers.load_seed(spark, str(tmp_path / "seed.txt"), "items")
+    with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|BAD_RECORD"):
+        readers.load_seed(spark, str(tmp_path / "bad.csv"), "items").collect()

@@ -97,14 +97,14 @@ class Tables:
     def requests_from(self, benchmark: DataFrame) -> DataFrame:
         """One request per benchmark text: its words as terms, plus the odd cases.
 
-        Terms: the first five words, the first two as a phrase, a part name;
+        Terms: all words, the first two as a phrase, a part name;
         every tenth request has none, another tenth an empty one. ``min_match``
         and ``q`` come as typed text.
         """
         n = F.col("item_id")
         words = F.split("text", " ")
         phrase = F.concat_ws(" ", words[0], words[1])
-        terms = F.concat(F.slice(words, 1, 5), F.array(phrase, F.col("p_name")))
+        terms = F.concat(words, F.array(phrase, F.col("p_name")))
         parts = self.raw("part").select(F.col("p_partkey").alias("item_id"), "p_name")
         return (
             benchmark.join(parts, "item_id").select(
@@ -189,12 +189,12 @@ req AS (
     list_transform(
       CASE request_id % 10
         WHEN 9 THEN CAST([] AS VARCHAR[])
-        WHEN 8 THEN list_concat(list_concat(w[1:5], [w[1] || ' ' || w[2], p_name]), [' '])
-        ELSE list_concat(w[1:5], [w[1] || ' ' || w[2], p_name]) END,
+        WHEN 8 THEN list_concat(list_concat(w, [w[1] || ' ' || w[2], p_name]), [' '])
+        ELSE list_concat(w, [w[1] || ' ' || w[2], p_name]) END,
       lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS terms,
     CASE WHEN min_text IS NULL THEN 1
          WHEN regexp_matches(min_text, '^\s*[+-]?\d+')
-           THEN CAST(regexp_extract(min_text, '^\s*([+-]?\d+)', 1) AS INTEGER)
+           THEN CAST(regexp_extract(min_text, '^\s*([+-]?\d+)', 1) AS BIGINT)
          ELSE 0 END AS min_match,
     regexp_replace(q_text, '^\s+|\s+$', '', 'g') AS q
   FROM raw_requests)"""
