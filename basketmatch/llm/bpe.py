@@ -27,9 +27,6 @@ RANKS = "byte_bpe_50k.tiktoken"
 CHUNK_TOKENS, ROW_DOCUMENTS = 4_000_000, 256
 #: Words that an encoding task remembers.
 REMEMBERED = 300_000
-#: White space as the rank files' pattern means it: Unicode's White_Space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-
 _CHUNKS = "chunk string, bucket int, size long, ids array<long>, payload binary, numbers binary"
 
 
@@ -39,10 +36,41 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def _ranges(characters: str) -> str:
+    """What stands for so many characters inside the brackets of a pattern."""
+    codes = np.unique(np.fromiter(map(ord, characters), np.int64, len(characters)))
+    first = codes[np.diff(codes, prepend=-2) > 1]
+    last = codes[np.diff(codes, append=0x110001) > 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first, last))
+
+
 def splitter() -> Callable[[str], list[str]]:
-    """Cuts a text into the matches of the public pattern."""
-    pattern = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
-    return regex.compile(pattern).findall
+    """Cuts a text into the matches of the public pattern, as tiktoken would.
+
+    Which characters are letters, numbers or white space differs between versions of
+    Unicode. tiktoken's own classes are read off once, by what it keeps of all
+    characters; a text that holds a character on which ``regex`` disagrees is cut by
+    a pattern that lists tiktoken's classes.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    listed, odd = {}, set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        reader = tiktoken.Encoding("kind", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        theirs = reader.decode(reader.encode_ordinary(every))
+        odd |= set(theirs) ^ set(regex.findall(kind, every))
+        listed[kind] = _ranges(theirs)
+    exact = public_tokenizers.PATTERN.replace(r"\S", r"[^\s]")
+    # Inside brackets the ranges stand as they are, elsewhere in brackets of their own.
+    parts = regex.split(r"(\[[^\]]*\])", exact)
+    for kind, ranges in listed.items():
+        parts = [p.replace(kind, ranges if p.startswith("[") else f"[{ranges}]") for p in parts]
+    plain, exact = regex.compile(public_tokenizers.PATTERN), regex.compile("".join(parts))
+
+    def split(text: str) -> list[str]:
+        common = text.isascii() or odd.isdisjoint(text)
+        return (plain if common else exact).findall(text)
+
+    return split
 
 
 def _packed(numbers: np.ndarray, level: int = 9) -> bytes:

@@ -49,6 +49,19 @@ def test_bpe_equals_the_library_and_decodes_to_the_text(spark, make):
     assert bpe.encode(make([]), ranks).count() == 0
 
 
+def test_letters_of_any_unicode_version_are_cut_as_the_library_does():
+    ranks = bpe.read_ranks(P.path(bpe.RANKS))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    split, encode = bpe.splitter(), bpe.whole_piece_encoding(ranks).encode_ordinary
+    codes = [c for c in (*range(0xD800), *range(0xE000, 0x20000)) if c < 0x3100 or c % 7 == 0 or 0x11D00 <= c < 0x12000]
+    rng = random.Random(4)
+    for c in codes:
+        x = chr(c)
+        text = "".join(rng.choice([x, " ", "the", "'s", "12", "?", "\n"]) for _ in range(12))
+        assert "".join(split(text)) == text
+        assert [i for w in split(text) for i in encode(w)] == library.encode_ordinary(text), hex(c)
+
+
 def test_numbers_survive_packing():
     for n in ([], [0], [127, 128, 16383, 16384, 2**32 - 1], list(range(1000))):
         assert bpe._unpacked(bpe._packed(n)).tolist() == n
