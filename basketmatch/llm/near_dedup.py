@@ -140,11 +140,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ``docs`` needs a long doc_id and a string text; further columns are ignored.
     Equal shingle sets are one class and go on as its smallest doc_id, so that a
-    group of copies costs one minimum. In each band bucket the classes are paired
-    with the smallest one; sketches sift the pairs and full sets confirm them. Where
-    a bucket still holds several components, the classes outside its largest one
-    are paired with all classes of other components. So every candidate pair is
-    linked, confirmed or rejected, without pairs inside what is already linked.
+    group of copies costs one minimum. Each class is first paired with the smallest
+    class of all its band buckets, which links most of a group at one pair a class.
+    In buckets that still hold several components, classes are paired with the
+    bucket's smallest one, and at last the classes outside the bucket's largest
+    component with all classes of other components. Sketches sift the pairs and full
+    sets confirm them. So every candidate pair is linked, confirmed or rejected,
+    without pairs inside what is already linked.
 
     Null and empty texts and texts without words have no shingles and are linked
     with nothing. Rows that repeat a doc_id are one document to its links. A null
@@ -155,42 +157,64 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = signed.where("n_shingles > 0 and doc_id is not null")
     names = ["n_shingles", "set_a", "set_b"]
     classes = stored(full.groupBy(*names).agg(F.min("doc_id").alias("first")), "classes")
-    member = full.select("doc_id", *names).join(classes, names).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    member = stored(full.select("doc_id", *names).join(classes, names).select("doc_id", "first").distinct(), "members")
+    of = member.groupBy("doc_id").agg(F.min("first").alias("first"), F.max("first").alias("last"))
+    # A document that comes with several sets ties their classes together.
+    tied = member.select("doc_id", F.col("first").alias("b")).join(of.where("first <> last"), "doc_id")
+    tied = tied.select(F.col("first").alias("a"), "b").where("a <> b")
 
     heads = full.join(classes.withColumnRenamed("first", "doc_id"), [*names, "doc_id"], "left_semi")
     heads = stored(heads.withColumnRenamed("doc_id", "id"), "heads")
     rows = heads.select(F.explode("bands").alias("key"), "id")
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(rows.join(hubs, "key"), "shared")
-
     sketch = heads.select("id", "n_shingles", *_SKETCH)
-    pairs = shared.where("hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(sketch.alias("y"), F.expr("b = y.id")).join(sketch.alias("x"), F.expr("a = x.id")).where(_near("x", "y")).select("a", "b")
-    links = stored(_confirmed(docs, pairs).union(member.where("a <> b")), "stars")
-    label = components(links)
 
-    far = stored(_across(shared, label, sketch), "across")
-    if not far.isEmpty():
-        more = _confirmed(docs, far)
-        label = components(links.union(more))
-    ids = signed.select("doc_id", "n_shingles")
-    found = ids.join(label, ids["doc_id"] == label["node"], "left")
-    smallest = F.coalesce("component", "doc_id")
+    nearest = shared.groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).where("a <> b")
+    links = stored(_confirmed(docs, _sifted(nearest, sketch)).union(tied), "nearest")
+    label = components(links)
+    unsettled = _open(shared.select("key", "id"), label)
+    for further in (_to_hubs, _across):
+        found = stored(further(unsettled, sketch), "further")
+        if not found.isEmpty():
+            links = links.union(stored(_confirmed(docs, found), "confirmed"))
+            label = components(links)
+            unsettled = _open(unsettled.select("key", "id"), label)
+
+    ids = signed.select("doc_id", "n_shingles").join(of.select("doc_id", "first"), "doc_id", "left")
+    found = ids.join(label, ids["first"] == label["node"], "left")
+    smallest = F.coalesce("component", "first", "doc_id")
     return found.select(
         "doc_id", "n_shingles", smallest.alias("component_id"), F.coalesce(smallest == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
-def _across(shared: DataFrame, label: DataFrame, sketch: DataFrame) -> DataFrame:
+def _sifted(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are near."""
+    met = pairs.join(sketch.alias("y"), F.expr("b = y.id")).join(sketch.alias("x"), F.expr("a = x.id"))
+    return met.where(_near("x", "y")).select("a", "b")
+
+
+def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, part): the rows (key, id) of buckets that hold several components."""
+    rows = rows.join(label, rows["id"] == label["node"], "left").select("key", "id", F.coalesce("component", "id").alias("part"))
+    keys = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return stored(rows.join(keys, "key", "left_semi"), "open")
+
+
+def _to_hubs(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Near pairs of a bucket's smallest class and those of its other components."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "part")).alias("hub"))
+    apart = rows.join(hubs, "key").where("hub.part <> part").select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    return _sifted(apart.distinct(), sketch)
+
+
+def _across(rows: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of a bucket that lie in different components and whose sketches are near.
 
     The left side leaves out the bucket's largest component, so that pairs grow with
     what is still apart and not with the square of the bucket.
     """
-    rows = shared.join(label, shared["id"] == label["node"], "left")
-    rows = rows.select("key", "id", F.coalesce("component", "id").alias("part"))
-    open_keys = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    rows = stored(rows.join(open_keys, "key", "left_semi"), "open")
     sizes = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top")).select("key", F.col("top.part").alias("main"))
     rest = rows.join(largest, "key").where("part <> main").drop("main")
