@@ -34,6 +34,7 @@ _FACTORS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _TERMS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _SEEDS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 _SKETCH = [f"s{i}" for i in range(WORDS64)]
+_PARITY = [f"p{i}" for i in range(WORDS64)]
 
 
 def most_differing_bits(percent: float) -> int:
@@ -57,11 +58,19 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps: every (number, minimum) flips the bit that it hashes to."""
-    n = len(samples)
     bit = mix(samples.astype(np.uint64) ^ _SEEDS) % np.uint64(BITS)
-    at = np.arange(n, dtype=np.int64)[:, None] * BITS + bit.astype(np.int64)
-    parity = (np.bincount(at.ravel(), minlength=n * BITS) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(n, BITS), axis=1).view(np.int64)
+    return _parities(np.repeat(np.arange(len(samples)), SAMPLES), bit.ravel(), len(samples))
+
+
+def set_parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of whole sets: every member flips the bit that its hash names."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return _parities(row, np.concatenate(sets) % np.uint64(BITS), len(sets))
+
+
+def _parities(row: np.ndarray, bit: np.ndarray, n: int) -> np.ndarray:
+    flips = np.bincount(row.astype(np.int64) * BITS + bit.astype(np.int64), minlength=n * BITS)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -88,18 +97,20 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out["set_a"] = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
             out["set_b"] = [int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             bands, sketch = [None] * len(sets), np.zeros((len(sets), WORDS64), np.int64)
+            parity = sketch.copy()
             if full:
                 samples = min_hashes([sets[i] for i in full])
                 sketch[full] = odd_sketches(samples)
+                parity[full] = set_parities([sets[i] for i in full])
                 for i, keys in zip(full, band_keys(samples)):
                     bands[i] = keys
             out["bands"] = bands
-            for j, name in enumerate(_SKETCH):
-                out[name] = sketch[:, j]
+            for j in range(WORDS64):
+                out[_SKETCH[j]], out[_PARITY[j]] = sketch[:, j], parity[:, j]
             yield out
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH)
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH + _PARITY)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -115,10 +126,20 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near(left: str, right: str) -> Column:
-    """Sizes that allow a link, and sketches that differ in few enough bits."""
+    """Sizes that allow a link, and sketches that differ in few enough bits.
+
+    Members of one set alone are d at least where the parities of the whole sets
+    differ in d bits, which rules a link out for certain when
+    100 (a + b - d) < PERCENT (a + b + d).
+    """
     a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    ones = sum(F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in _SKETCH)
-    return (100 * F.least(a, b) >= PERCENT * F.greatest(a, b)) & (ones <= most_differing_bits(PERCENT - MARGIN))
+
+    def ones(names: list[str]) -> Column:
+        return sum(F.bit_count(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))) for s in names)
+
+    sizes = 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    apart = (100 + PERCENT) * ones(_PARITY) <= (100 - PERCENT) * (a + b)
+    return sizes & (ones(_SKETCH) <= most_differing_bits(PERCENT - MARGIN)) & apart
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -168,7 +189,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = heads.select(F.explode("bands").alias("key"), "id")
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(rows.join(hubs, "key"), "shared")
-    sketch = heads.select("id", "n_shingles", *_SKETCH)
+    sketch = heads.select("id", "n_shingles", *_SKETCH, *_PARITY)
 
     nearest = shared.groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a")).where("a <> b")
     links = stored(_confirmed(docs, _sifted(nearest, sketch)).union(tied), "nearest")
