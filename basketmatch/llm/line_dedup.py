@@ -1,20 +1,19 @@
-"""Repeated runs of lines across documents, by winnowing over line hashes.
+"""Repeated runs of lines across documents, by hashes of all shortest runs that are long enough.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketmatch.llm.scratch import stored
 
-#: Grams in a window: any WINDOW grams in a row hold a fingerprint.
-WINDOW = 2
-#: Words of a run that is deleted, and of a line that is a gram of its own.
+#: Words of a run that is deleted.
 MIN_WORDS = 20
-LONG_LINE = 50
+#: Lines up to which a window is found without a loop.
+FEW_LINES = 4
 
 _KEY = ["doc_id", "th"]
 
@@ -33,90 +32,120 @@ def line_words(line: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
 
 
-def grams(h: Column, n: Column) -> Column:
-    """At each line the hash of it and the next; of a long line, its own. Null after the last."""
-    def gram(i: Column) -> Column:
-        two = F.when(i + 1 < F.size(h), F.xxhash64(F.get(h, i), F.get(h, i + 1)))
-        return F.when(F.get(n, i) >= LONG_LINE, F.xxhash64(F.get(h, i))).otherwise(two)
+def _span(n: Column, i: Column, step: int) -> Column:
+    """Lines of the shortest run of MIN_WORDS words from ``i`` on, forwards or backwards; null if there are too few."""
+    def longer(state: Column, d: Column) -> Column:
+        more = F.struct((state["words"] + F.coalesce(F.get(n, i + d * step), F.lit(0))).alias("words"), (d + 1).alias("lines"))
+        return F.when(state["words"] >= MIN_WORDS, state).otherwise(more)
 
-    return F.transform(F.sequence(F.lit(0), F.size(h) - 1), gram)
+    # Every line here has a word at least.
+    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+    loop = F.aggregate(
+        F.sequence(F.lit(0), F.lit(MIN_WORDS - 1)), zero, longer, lambda s: F.when(s["words"] >= MIN_WORDS, s["lines"])
+    )
+    words, found = F.get(n, i), F.when(F.get(n, i) >= MIN_WORDS, 1)
+    for d in range(1, FEW_LINES):
+        words = words + F.get(n, i + d * step)
+        found = found.when(words >= MIN_WORDS, d + 1)
+    return found.otherwise(loop)
 
 
-def _is_minimum(g: Column, i: Column) -> Column:
-    """Whether gram ``i`` is the rightmost minimum of some window that lies in the text."""
-    here, none = F.get(g, i), F.lit(2**63 - 1)
+def _listed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, h, cut, ahead, behind): per text the hashes of its lines that are not blank.
 
-    def other(j: Column) -> Column:
-        return F.coalesce(F.get(g, j), none)
+    Line ``k`` of these and the blank ones after it are the lines cut[k] to
+    cut[k + 1] - 1 of the text. ahead and behind have the lines of the shortest run
+    that begins or ends there.
+    """
+    some = docs.where(F.btrim("text", F.lit(" \t\r\n")) != "")
+    texts = some.select("doc_id", F.xxhash64("text").alias("th"), lines(F.col("text")).alias("ls"))
+    words = texts.select(*_KEY, "ls", F.transform("ls", line_words).alias("words"))
+    idx = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("words", i) > 0)
+    full = words.select(*_KEY, "ls", "words", idx.alias("idx"))
+    full = full.select(
+        *_KEY,
+        F.transform("idx", lambda i: line_hash(F.get("ls", i))).alias("h"),
+        F.transform("idx", lambda i: F.get("words", i)).alias("n"),
+        F.concat(F.array(F.lit(0)), F.slice("idx", 2, F.size("idx")), F.array(F.size("ls"))).alias("cut"),
+    )
+    every = F.sequence(F.lit(0), F.size("n") - 1)
+    ahead = F.transform(every, lambda i: _span(F.col("n"), i, 1))
+    behind = F.transform(every, lambda i: _span(F.col("n"), i, -1))
+    return full.select(*_KEY, "h", "cut", ahead.alias("ahead"), behind.alias("behind"))
+
+
+def _marks(at: DataFrame, found: Column) -> DataFrame:
+    """(doc_id, th, gram, s, e): a row for each window (i, size) of ``found``."""
+    marks = at.select(*_KEY, "h", "cut", F.explode(found).alias("w"))
+    first, size = F.col("w.i"), F.col("w.size")
+    return marks.select(
+        *_KEY, F.xxhash64(F.slice("h", first + 1, size)).alias("gram"), F.get("cut", first).alias("s"), (F.get("cut", first + size) - 1).alias("e")
+    )
 
-    left, right, open_left, open_right = F.lit(0), F.lit(0), F.lit(True), F.lit(True)
-    for d in range(1, WINDOW):
-        open_left = open_left & (i >= d) & (other(i - d) >= here)
-        open_right = open_right & (i + d < F.size(g)) & (other(i + d) > here)
-        left = left + open_left.cast("int")
-        right = right + open_right.cast("int")
-    return here.isNotNull() & (left + right + 1 >= F.least(F.lit(WINDOW), F.size(g)))
 
+def _met(marks: DataFrame, name: str) -> DataFrame:
+    """(doc_id, th, s, e, later): places of the grams that occur more than once; all but the first are later."""
+    marks = stored(marks, name)
+    first = marks.groupBy("gram").agg(F.min(F.struct(*_KEY, "s")).alias("src"), F.count("*").alias("times"))
+    # Written, so that the join has a plain exchange on either side and a very
+    # common line can be split.
+    first = stored(first.where("times > 1").drop("times"), "first")
+    later = F.expr("not (src.doc_id <=> doc_id and src.th = th and src.s = s)")
+    return marks.join(first, "gram").select(*_KEY, "s", "e", later.alias("later"))
 
-def _runs(same: Column, n: Column, start: Column) -> Column:
-    """(s, e) of each run of true values that is long enough; positions count from ``start``."""
-    zero = F.struct(
-        F.lit(0).alias("length"), F.lit(0).cast("int").alias("words"), F.array().cast("array<struct<s:int,e:int>>").alias("runs")
-    )
 
-    def step(state: Column, i: Column) -> Column:
-        on = F.coalesce(F.get(same, i), F.lit(False))
-        enough = (state["length"] > 0) & (state["words"] >= MIN_WORDS)
-        run = F.struct((start + i - state["length"]).alias("s"), (start + i - 1).alias("e"))
-        done = F.when(~on & enough, F.concat(state["runs"], F.array(run))).otherwise(state["runs"])
-        return F.struct(
-            F.when(on, state["length"] + 1).otherwise(0).alias("length"),
-            F.when(on, state["words"] + F.get(n, start + i)).otherwise(0).alias("words"),
-            done.alias("runs"),
-        )
+def _merged(places: Column) -> Column:
+    """Sorted (s, e) with those joined that overlap or touch."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+    run = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    zero = F.struct(none.alias("runs"), F.lit(None).cast("struct<s:int,e:int>").alias("last"))
+
+    def step(state: Column, x: Column) -> Column:
+        last = state["last"]
+        apart = last.isNotNull() & (x["s"] > last["e"] + 1)
+        joined = F.when(last.isNull() | apart, x).otherwise(run(last["s"], F.greatest(last["e"], x["e"])))
+        return F.struct(F.when(apart, F.concat(state["runs"], F.array(last))).otherwise(state["runs"]).alias("runs"), joined.alias("last"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(same)), zero, step, lambda s: s["runs"])
+    return F.aggregate(F.array_sort(places), zero, step, lambda s: F.concat(s["runs"], F.array(s["last"])))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, th, runs): for documents with later repeats, their line numbers (s to e, from 0)."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), lines(F.col("text")).alias("ls")).where("size(ls) > 0")
-    listed = texts.select(*_KEY, F.transform("ls", line_hash).alias("h"), F.transform("ls", line_words).alias("n"))
-    listed = stored(listed, "lines")
+    listed = stored(_listed(docs), "lines")
+    every = F.sequence(F.lit(0), F.size("h") - 1)
 
-    at = listed.select(*_KEY, grams(F.col("h"), F.col("n")).alias("g"))
-    chosen = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: _is_minimum(F.col("g"), i))
-    marks = at.select(*_KEY, "g", F.explode(chosen).alias("pos")).select(*_KEY, "pos", F.get("g", F.col("pos")).alias("gram"))
+    def window(i: Column, size: Column) -> Column:
+        return F.struct(i.alias("i"), size.alias("size"))
 
-    first = marks.groupBy("gram").agg(F.min(F.struct(*_KEY, "pos")).alias("src"), F.count("*").alias("times"))
-    # Written, so that the join has a plain exchange on either side and a very
-    # common line can be split.
-    first = stored(first.where("times > 1").drop("times"), "first")
-    met = marks.join(first, "gram")
-    # Within a document a mark looks back at the one before, so that a line repeated
-    # many times gives one distance and not one for every repeat.
-    before = Window.partitionBy(*_KEY, "gram").orderBy("pos")
-    back = F.struct(*_KEY, F.lag("pos").over(before).alias("pos"))
-    met = met.withColumn("back", back)
-    src = F.when(F.col("back.pos").isNotNull(), F.col("back")).otherwise(F.col("src"))
-    met = met.select(*_KEY, "pos", src.alias("src")).where("not (src.doc_id <=> doc_id and src.th = th and src.pos = pos)")
-    pairs = met.select(
-        *_KEY, F.col("src.doc_id").alias("src_id"), F.col("src.th").alias("src_th"), (F.col("pos") - F.col("src.pos")).alias("by")
-    ).distinct()
-
-    of_src = listed.select(F.col("doc_id").alias("src_id"), F.col("th").alias("src_th"), F.col("h").alias("src_h"))
-    both = pairs.join(listed, _same(pairs, listed, _KEY)).drop(listed["doc_id"], listed["th"])
-    both = both.join(of_src, _same(both, of_src, ["src_id", "src_th"])).drop(of_src["src_id"], of_src["src_th"])
-    start = F.greatest(F.lit(0), F.col("by"))
-    count = F.least(F.size("h"), F.size("src_h") + F.col("by")) - start
-    same = F.zip_with(
-        F.slice("h", start + 1, F.greatest(count, F.lit(0))),
-        F.slice("src_h", start - F.col("by") + 1, F.greatest(count, F.lit(0))),
-        lambda a, b: a == b,
+    # Every long enough run holds a window that is shortest from both of its ends.
+    tight = F.transform(
+        F.filter(every, lambda i: F.get("behind", i + F.get("ahead", i) - 1) == F.get("ahead", i)), lambda i: window(i, F.get("ahead", i))
+    )
+    repeated = stored(_met(_marks(listed, tight), "tight"), "repeated")
+
+    # A window that is shortest from one end holds a single tight one, at its other
+    # end; only where that is repeated can it be. They reach the lines at the edges.
+    seen = repeated.groupBy(*_KEY).agg(F.collect_set("s").alias("seen"))
+    near = listed.join(seen, _same(listed, seen, _KEY)).drop(seen["doc_id"], seen["th"])
+    ahead, behind = F.col("ahead"), F.col("behind")
+
+    def tight_is_seen(i: Column) -> Column:
+        return F.array_contains("seen", F.get("cut", i))
+
+    def loose_ahead(i: Column) -> Column:
+        end = i + F.get(ahead, i) - 1
+        return (F.get(behind, end) != F.get(ahead, i)) & tight_is_seen(end - F.get(behind, end) + 1)
+
+    def loose_behind(j: Column) -> Column:
+        begin = j - F.get(behind, j) + 1
+        return (F.get(ahead, begin) != F.get(behind, j)) & tight_is_seen(begin)
+
+    loose = F.concat(
+        F.transform(F.filter(every, loose_ahead), lambda i: window(i, F.get(ahead, i))),
+        F.transform(F.filter(every, loose_behind), lambda j: window(j - F.get(behind, j) + 1, F.get(behind, j))),
     )
-    both = both.select(*_KEY, "n", start.alias("start"), same.alias("same"))
-    both = both.select(*_KEY, F.explode(_runs(F.col("same"), F.col("n"), F.col("start"))).alias("run"))
-    return both.groupBy(*_KEY).agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    later = repeated.unionByName(_met(_marks(near, loose), "loose")).where("later")
+    return later.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("places")).select(*_KEY, _merged(F.col("places")).alias("runs"))
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -129,13 +158,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; its other columns stay, but for any that is
     named removed, which is replaced. Lines end at a newline, or at
     ``. ! ?`` and a blank, and are equal if they are but for case and outer blanks.
-    A gram is two lines in a row, or one line of 50 words. Of any two grams in a row
-    the smaller hash is a fingerprint. Each fingerprint is laid beside its first
-    occurrence in the order of (doc_id, hash of the text), or beside the one before
-    in the same document; the match grows both ways while lines are equal. Runs of
-    at least 20 words are deleted from the later text. So every run of three lines
-    or more, or of one long line with a neighbour, that a first occurrence holds too
-    is found; a line shorter than 50 words that repeats alone stays.
+    Blank lines do not part a run; those after a deleted line go with it, and those
+    before the first line of a text with that one.
+
+    A line is deleted if it lies in a run of 20 words or more that also occurs
+    earlier, in the order of (doc_id, hash of the text, line); the first occurrence
+    of a line stays. All such runs are found, whatever stands around them: every
+    line of one lies in the shortest run of 20 words from it forwards, or in that
+    backwards from the end, and these are compared by their hashes, each with the
+    first in the corpus. removed has what is deleted, in as few pieces as possible.
 
     Null and empty texts come back unchanged. Rows that repeat doc_id and text are
     one document. A text that is a repeat as a whole becomes empty.

@@ -166,6 +166,61 @@ def test_every_run_of_three_lines_is_found(spark, make):
     assert line_dedup.dedup_lines(make([])).count() == 0
 
 
+def repeated_lines(rows):
+    """Per row the lines in a run of MIN_WORDS words that an earlier place holds, by all pairs of places."""
+    texts = [[x.strip(" \t\r\n").lower() for x in brute_lines(t)] for _, t in rows]
+    out = []
+    for d, ls in enumerate(texts):
+        gone = set()
+        for e, other in enumerate(texts[: d + 1]):
+            for by in range(1 - len(other), len(ls)):
+                if e == d and by <= 0:
+                    continue
+                run = []
+                for i in range(len(ls) + 1):
+                    if i < len(ls) and 0 <= i - by < len(other) and ls[i] == other[i - by]:
+                        run.append(i)
+                    else:
+                        gone |= set(run) if sum(len(ls[k].split(" ")) for k in run) >= line_dedup.MIN_WORDS else set()
+                        run = []
+        out.append(gone)
+    return out
+
+
+def test_passages_of_one_and_of_two_lines_between_different_neighbours(spark, make):
+    rng = random.Random(12)
+    line = lambda n: prose(rng, n).capitalize() + "."
+    rows, passages = [], []
+    for i, sizes in enumerate([[60], [30, 30], [25], [12, 9], [3, 40]] * 8):
+        passages.append(" ".join(line(n) for n in sizes))
+        for copy in (0, 1):
+            rows.append((1000 * copy + i, f"{line(9)} {line(8)} {passages[-1]} {line(7)} {line(11)}"))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()}
+    for i, passage in enumerate(passages):
+        assert passage in got[i] and got[i] == rows[2 * i][1]
+        assert passage not in got[1000 + i] and len(got[1000 + i].split()) == 35
+
+
+def test_removed_lines_equal_all_pairs_of_places(spark, make):
+    rng = random.Random(13)
+    pool = [prose(rng, rng.choice([1, 2, 4, 7, 9, 12, 19, 20, 30])).capitalize() + "." for _ in range(14)]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(make(rows)).collect()}
+    for (d, text), gone in zip(rows, repeated_lines(rows)):
+        assert {i for s, e in out[d].removed for i in range(s, e + 1)} == gone, d
+        assert out[d].text == "".join(x for i, x in enumerate(brute_lines(text)) if i not in gone)
+    assert any(r.removed for r in out.values()) and any(r.text for r in out.values())
+
+
+def test_blank_lines_go_with_the_line_before(spark, make):
+    rng = random.Random(14)
+    p = [prose(rng, 15) for _ in range(4)]
+    rows = [(1, f"\n{p[0]}\n\n{p[1]}\n\n{p[2]}\n"), (2, f"\n\n{p[0]}\n{p[1]}\n\n\n"), (3, f"{p[3]}\n\n{p[0]}\n{p[1]}\n\nOwn.\n")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(make(rows)).collect()}
+    assert [got[d].text for d in (1, 2, 3)] == [rows[0][1], "", f"{p[3]}\n\nOwn.\n"]
+    assert [(r.s, r.e) for r in got[3].removed] == [(2, 4)]
+
+
 # Benchmark items.
 
 
