@@ -20,12 +20,14 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: A value behind a wider set of names, with any characters but blanks and quotes.
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|(?:api|access|private|secret|client)[_-]?(?:key|secret))"""
-    r"""["']?[\x20\t]{0,4}(?:[:=]|=>)[\x20\t]{0,4}["']?([^\s"'<>,;]{6,})""",
-    re.I | re.A,
+#: A value behind a name that holds a word of a wider set, with any characters but
+#: blanks and quotes. Names are tried from their beginning only, and taken whole, so
+#: that the time stays linear; a name with its own sign is no value.
+_NAME = (
+    r"""(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:pass|pwd|secret|token|credential|(?:api|access|private|client)[_.-]?key))"""
+    r"""[A-Za-z0-9_.-]++["']?[\x20\t]*+(?:[:=]|=>)[\x20\t]*+["']?"""
 )
+CONTEXT = re.compile(rf"""{_NAME}(?!{_NAME})([^\s"'<>,;]{{6,}})""", re.I | re.A)
 #: A value is added from this many guesses on, as a power of ten.
 LEAST_GUESSES = 8.0
 #: Rows of a keyboard.

@@ -141,6 +141,18 @@ def test_secrets_and_their_places(spark, make):
     assert secrets.secrets(make([]), words).count() == 0
 
 
+def test_secrets_behind_names_of_several_parts(spark, make):
+    words = secrets.word_ranks(P.path(bpe.RANKS))
+    value = "x9$kQ!zv7#Lw"
+    heads = ["aws_secret_access_key = ", "secret_access_key=", "DB_PASS=", 'MYSQL_PWD="', "db_password=", "pwd" + " " * 9 + ":\t\t\t\t\t\t"]
+    heads += ["spring.datasource.pass-main => '", "bypass: client_key: "]
+    rows = [(200 + i, f"é {head}{value}\n") for i, head in enumerate(heads)] + [(300, "DB_PASS=password1 compass: qwertyuiop"), (301, "pass-" * 40_000)]
+    got = {r.doc_id: r.spans for r in secrets.secrets(make(rows), words).collect()}
+    for i, head in enumerate(heads):
+        assert got[200 + i] == f"guess:{2 + len(head)}:{2 + len(head) + len(value)}", head
+    assert got[300] == got[301] == ""
+
+
 def test_guess_costs_follow_the_cheapest_segments():
     words = secrets.word_ranks(P.path(bpe.RANKS))
     cheap = [secrets.guesses(v, words) for v in ("aaaaaaaaaaaa", "qwertyuiop", "20240131", "abcdefgh", "the")]
