@@ -212,6 +212,20 @@ def test_removed_lines_equal_all_pairs_of_places(spark, make):
     assert any(r.removed for r in out.values()) and any(r.text for r in out.values())
 
 
+def test_frequent_lines_beside_a_rare_one_do_not_hide_it(spark, make):
+    rng = random.Random(15)
+    line = lambda n: prose(rng, n).capitalize() + "."
+    rows, rare = [], []
+    for i in range(20):
+        heads = f"{line(3)} {line(4)}"
+        rare.append(line(40))
+        rows += [(i, f"{line(8)} {heads} {line(9)}"), (100 + i, f"{line(7)} {heads} {rare[i]} {line(6)}")]
+        rows.append((200 + i, f"{heads} {line(5)} {heads} {rare[i]} {line(8)}"))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make(rows)).collect()}
+    for i in range(20):
+        assert rare[i] in got[100 + i] and rare[i] not in got[200 + i] and len(got[200 + i].split()) == 20
+
+
 def test_blank_lines_go_with_the_line_before(spark, make):
     rng = random.Random(14)
     p = [prose(rng, 15) for _ in range(4)]
