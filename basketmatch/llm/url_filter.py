@@ -33,18 +33,40 @@ def canonical(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(bare, tail, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
+def resolved(url: Column, to: Column) -> Column:
+    """The url that the target ``to`` names on the page ``url``; null for one of another kind, such as ``mailto:``."""
+    scheme, site = (F.regexp_extract(url, p, 1) for p in (r"(?s)^(.*?:)//", r"(?s)^(.*?://[^/?#]*)"))
+    named, rest = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path(url), r"(?s)^(.*/)", 1)
+    whole = F.when(named.startswith("/"), named).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), named))
+
+    def walk(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    # The part before the first slash is empty, and stays.
+    parts = F.split(whole, "/")
+    steps = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), walk)
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(named == "", F.concat(site, path(url), rest))
+        .otherwise(F.concat(site, F.array_join(steps, "/"), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(a, b): canonical urls that a page's canonical link or meta refresh ties together."""
+    """(a, b): canonical urls that a page's canonical links or meta refreshes tie together."""
     html = pages.where("lower(html) like '%canonical%' or lower(html) like '%http-equiv%'").select("url", "html")
-    link = F.regexp_extract("html", r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    refresh = F.regexp_extract("html", r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    targets = F.array(
-        F.regexp_extract(link, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.regexp_extract(refresh, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
+    links = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), F.lit(0))
+    refreshes = F.regexp_extract_all("html", F.lit(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), F.lit(0))
+    targets = F.concat(
+        F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
+        F.transform(refreshes, lambda x: F.regexp_extract(x, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)),
     )
     named = html.select("url", F.explode(targets).alias("to")).where("to <> ''")
-    site = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    whole = F.when(F.instr("to", "://") > 0, F.col("to")).when(F.col("to").startswith("/"), F.concat(site, "to"))
-    return named.select(canonical(F.col("url")).alias("a"), canonical(whole).alias("b")).where("a <> b")
+    return named.select(canonical(F.col("url")).alias("a"), canonical(resolved(F.col("url"), F.col("to"))).alias("b")).where("a <> b")
 
 
 def ruled(places: DataFrame, rules: DataFrame) -> DataFrame:

@@ -220,3 +220,16 @@ def test_urls_and_their_aliases(spark):
     assert got[7][2:] == got[None][2:] == (None, "block") and got[8][2:] == ("com/de/", "block")
     assert got[9] == ("", "", None, "allow") and got[10] == ("", "", None, "allow")
     assert got[11][2:] == (None, "allow") and got[12] == ("org", "", None, "allow")
+
+
+def test_every_target_is_resolved_against_its_page(spark):
+    link, refresh = '<link rel="canonical" href="%s">', '<meta http-equiv="refresh" content="0; url=%s">'
+    url = "https://a.com/x/y/p.html?q=1"
+    targets = {
+        "page.html": "a.com/x/y/page", "../z": "a.com/x/z", "./../../../up/./k": "a.com/up/k", "?p=2": "a.com/x/y/p?p=2", "//b.org/n/": "b.org/n",
+        "/r/../s": "a.com/s", "http://c.net/": "c.net", "t?to=http://d.com/": "a.com/x/y/t?to=http://d.com/", "mailto:e@f.com": None, "#top": "a.com/x/y/p",
+    }
+    pages = [(i, url, form % to) for i, to in enumerate(targets) for form in (link, refresh)]
+    pages += [(50, "https://g.com", link % "h" + link % "/i" + refresh % "j" + refresh % "k"), (51, None, link % "x")]
+    got = {tuple(r) for r in url_filter.page_links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {("a.com/x/y/p?q=1", to) for to in targets.values() if to} | {("g.com", f"g.com/{c}") for c in "hijk"}
