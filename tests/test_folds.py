@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import at, table
+from helpers import at, table
 from pyspark.sql import functions as F
 
 from basketmatch.streaming import folds, streams

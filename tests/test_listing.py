@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import BASKETS, at, table
+from helpers import BASKETS, at, table
 
 from basketmatch import schemas
 from basketmatch.operators import listing

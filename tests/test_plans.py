@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import requests
+from helpers import requests
 
 from basketmatch.operators import coverage, link, listing, search
 from basketmatch.plans.recommend import recommend

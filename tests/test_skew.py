@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import at
+from helpers import at
 from pyspark.sql import functions as F
 
 from basketmatch.operators import skew

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import BRIDGE, at, table
+from helpers import BRIDGE, at, table
 
 from basketmatch.operators import link, skew, upkeep
 from basketmatch.sources import readers
