@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from basketmatch.llm import decontaminate, line_dedup, near_dedup
 from basketmatch.llm.components import components
-from tests.llm.conftest import ODD
+from tests.llm.odd_rows import ODD
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "de", "fi", "go", "hu", "xo")]
 

@@ -10,7 +10,7 @@ import tiktoken
 
 import corpus_pipeline
 from basketmatch.llm import bpe
-from tests.llm.conftest import ODD
+from tests.llm.odd_rows import ODD
 from tests.llm.test_dedup import groups, item_set, prose, sentences
 from tests.llm.test_texts import TOXIC
 

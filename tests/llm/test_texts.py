@@ -13,7 +13,7 @@ import sentencepiece
 import tiktoken
 
 from basketmatch.llm import bpe, fingerprints, language_id, secrets, token_counts, toxicity, url_filter
-from tests.llm.conftest import ODD
+from tests.llm.odd_rows import ODD
 
 TEXTS = [t for _, t in ODD] + ["  lead", "trail  ", "a\n\nb \n c", "▁x ▁", "don't I'll 12345 ½  　x", "<s> <unk> <|endoftext|> <0x0A>", "ok;\r\n}", "日本語のテキスト", "x" * 5000]
 ROWS = [(i, t) for i, t in enumerate(TEXTS)]
