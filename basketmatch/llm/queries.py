@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketmatch.llm import bpe, decontaminate, fingerprints, language_id, line_dedup, near_dedup, secrets, token_counts, toxicity, url_filter
+from basketmatch.llm import bpe, decontaminate, fill_in_middle, fingerprints, language_id, line_dedup, near_dedup, secrets, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,30 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the runs of lines that repeat earlier ones."""
     out = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return out.select("doc_id", "removed", "text")
+
+
+@query(
+    r"""
+    with cut as (
+      select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') u,
+        sha256('1:' || coalesce(doc_id::varchar, '')) h from documents),
+    numbers as (
+      select *, len(u)::bigint n, ('0x' || h[1:8])::bigint h1, ('0x' || h[9:16])::bigint h2,
+        ('0x' || h[17:24])::bigint h3, ('0x' || h[25:32])::bigint h4 from cut),
+    formed as (
+      select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+          when h4 % 100 < 20 then 'spm' else 'psm' end form from numbers),
+    parts as (
+      select *, array_to_string(u[:a], '') p, array_to_string(u[a + 1:b], '') m, array_to_string(u[b + 1:], '') s from formed)
+    select doc_id, n, form, case when form <> 'plain' then length(p) end prefix_chars,
+      case when form <> 'plain' then length(m) end middle_chars,
+      sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+        else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256,
+      sha256(t) restored_sha256
+    from parts
+    """
+)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """How every text is cut, and digests of its output and of the text restored from it."""
+    return fill_in_middle.digests(table(spark, folder, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -40,3 +41,20 @@ def filter_slices(df: DataFrame, column: str, keep: Callable[[list], list]) -> D
                 yield rows.filter(pa.array(keep(rows.column(column).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(arrow, df.schema)
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``run`` over the rows of each partition as tuples, ROWS of them together at a time."""
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield from zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns))
+
+    def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = run(rows(batches))
+        while held := list(islice(out, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types.types)], schema=types)
+
+    return df.mapInArrow(arrow, schema)
