@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketmatch.llm import bpe, decontaminate, fill_in_middle, fingerprints, language_id, line_dedup, near_dedup, secrets, token_counts, toxicity, url_filter
+from basketmatch.llm import bpe, decontaminate, fill_in_middle, fingerprints, language_id, line_dedup, near_dedup, secrets, token_counts, toxicity, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,3 +180,42 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     """How every text is cut, and digests of its output and of the text restored from it."""
     return fill_in_middle.digests(table(spark, folder, "documents"))
+
+
+def _codes_sql(rounds: int = 2) -> str:
+    """Every part against every entry, round by round."""
+    steps = [
+        """kept as materialized (
+      select row_number() over (order by vec_id) rn, vec_id, label,
+        list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v
+      from embeddings where len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    parts as materialized (
+      select rn, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] x from kept, range(16) t(p)),
+    comps as materialized (select rn, p, generate_subscripts(x, 1) k, unnest(x) c from parts),
+    book0 as materialized (select p, rn - 1 e, x from parts where rn <= 64)"""
+    ]
+    near = """near{r} as materialized (
+      select rn, p, min(64 * list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint + e) found
+      from parts a join book{r} b using (p) group by rn, p)"""
+    book = """sums{r} as (
+      select p, found % 64 e, k, sum(c)::bigint s, count(*) n from near{r} join comps using (rn, p) group by all),
+    means{r} as (select p, e, list((s - ((s % n) + n) % n) // n order by k) x from sums{r} group by p, e),
+    book{next} as materialized (select p, e, coalesce(m.x, b.x) x from book{r} b left join means{r} m using (p, e))"""
+    for r in range(rounds):
+        steps += [near.format(r=r), book.format(r=r, next=r + 1)]
+    steps += [near.format(r=rounds)]
+    return f"""with {", ".join(steps)},
+    codes as (
+      select rn, string_agg(printf('%02x', found % 64), '' order by p) code, sum(found // 64)::bigint error
+      from near{rounds} group by rn),
+    numbers as (select p, e, generate_subscripts(x, 1) k, unnest(x) c from book{rounds}),
+    name as (select sha256(string_agg(c::varchar, ',' order by p, e, k)) codebooks_sha256 from numbers)
+    select vec_id, code, error, sum(error) over (partition by label)::bigint label_error, codebooks_sha256
+    from codes join kept using (rn), name"""
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """The code of every usable vector."""
+    return vector_codes.vector_codes(table(spark, folder, "embeddings"))
