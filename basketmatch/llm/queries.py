@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketmatch.llm import bpe, decontaminate, fill_in_middle, fingerprints, language_id, line_dedup, near_dedup, secrets, token_counts, toxicity, url_filter, vector_codes
+from basketmatch.llm import bpe, decontaminate, fill_in_middle, fingerprints, language_id, line_dedup, near_dedup, secrets, substring_dedup, token_counts, toxicity, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,6 +182,30 @@ def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, folder, "documents"))
 
 
+@query(
+    r"""
+    with texts as (
+      select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+    windows as (
+      select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) h
+      from (select doc_id, w, unnest(range(1, len(w) - 18)) i from texts)),
+    later as (
+      select doc_id, i from windows
+      qualify row_number() over (partition by h order by doc_id, i) > 1),
+    gone as (select distinct doc_id, i + k i from later, range(20) t(k)),
+    words as (select doc_id, unnest(w) word, generate_subscripts(w, 1) i from texts),
+    kept as (
+      select doc_id, count(*) n, string_agg(word, ' ' order by i) kept
+      from words anti join gone using (doc_id, i) group by doc_id)
+    select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256
+    from texts left join kept using (doc_id)
+    """
+)
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of windows that occur earlier."""
+    return substring_dedup.dedup_passages(table(spark, folder, "documents"))
+
+
 def _codes_sql(rounds: int = 2) -> str:
     """Every part against every entry, round by round."""
     steps = [

@@ -12,6 +12,8 @@ import numpy as np
 
 #: Bytes of text that are hashed together; longer texts are cut between words.
 CHUNK_BYTES = 1 << 20
+#: Places whose runs are hashed together.
+BLOCK = 1 << 16
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,7 +77,7 @@ def _hash(raw: bytes, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> tupl
     return np.stack(parts, 1), starts
 
 
-def _pieces(text: bytes, table: np.ndarray) -> Iterator[bytes]:
+def pieces_of(text: bytes, table: np.ndarray) -> Iterator[bytes]:
     """A long text cut at separators into pieces of about the chunk's size."""
     at = 0
     while len(text) - at > CHUNK_BYTES:
@@ -98,7 +100,7 @@ def word_hashes(texts: list[str | None], table: np.ndarray, prefixes: tuple[int,
         if len(raw) > CHUNK_BYTES:
             if group:
                 yield first, *_joined(group, table, prefixes)
-            words = np.concatenate([_hash(p, table, prefixes)[0] for p in _pieces(raw, table)])
+            words = np.concatenate([_hash(p, table, prefixes)[0] for p in pieces_of(raw, table)])
             yield i, words, np.array([0, len(words)])
             first, group, size = i + 1, [], 0
             continue
@@ -117,6 +119,20 @@ def _joined(group: list[bytes], table: np.ndarray, prefixes: tuple[int, ...]) ->
     return words, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
+def rolling(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of ``k`` words, in linear time; a block of places at a time."""
+    n = max(0, len(words) - k + 1)
+    out = np.empty(n, np.uint64)
+    up, down = _power_tables(BLOCK + k)
+    for at in range(0, n, BLOCK):
+        some = words[at : at + BLOCK + k - 1]
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * up[: len(some)], out=total[1:])
+        found = len(some) - k + 1
+        out[at : at + found] = mix((total[k:] - total[:-k]) * down[:found])
+    return out
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Distinct hashes of all runs of ``k`` words, sorted; of fewer words, one hash of them all."""
     if not len(words):
