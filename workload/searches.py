@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketmatch.operators import picks, search
+from basketmatch.operators.wordindex import build_index, extend_index, open_index
 from basketmatch.plans.recommend import favourites_view as favourites_of
 from basketmatch.plans.recommend import recommend as answer_requests
 from basketmatch.sources import sinks
@@ -58,19 +59,47 @@ def normalise_requests(t: Tables) -> DataFrame:
     return clean.select("request_id", F.array_join("terms", "/").alias("terms"), "min_match", "q")
 
 
+_WORDS = r"""texts AS (
+  SELECT t AS text FROM docs UNION ALL SELECT ti FROM docs UNION ALL SELECT ta FROM docs),
+listed AS (
+  SELECT unnest(list_distinct(string_split_regex(text, '\s+') || regexp_extract_all(text, '\s+'))) AS word
+  FROM texts WHERE text IS NOT NULL)"""
+
+_WORD_INDEX = with_views(DOCS, _WORDS) + "SELECT word, count(*) AS n_texts FROM listed GROUP BY 1"
+
+
+@query(_WORD_INDEX)
+def word_index(t: Tables) -> DataFrame:
+    """The words of the index with the number of texts that have them."""
+    return t.index().words()
+
+
+@query(_WORD_INDEX)
+def extended_word_index(t: Tables) -> DataFrame:
+    """The same from an index of two thirds of the baskets, extended twice by the others;
+    the numbers are counted anew from its postings."""
+    baskets = t.documents()
+    third = F.col("basket_id") % 3
+    index = build_index(baskets.filter(third == 0))
+    for i in (1, 2):
+        index = extend_index(index, baskets.filter(third == i))
+    index = open_index(t.spark, index.folder)
+    return index.postings().groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
 @query(
     with_views(REQUESTS, DOCS, TERMS)
     + """SELECT request_id, basket_id, sum(CAST(contains(t, term) AS BIGINT))::BIGINT AS score
-FROM terms, docs WHERE term <> '' GROUP BY 1, 2 HAVING score > 0
+FROM terms, docs GROUP BY 1, 2 HAVING bool_or(term <> '' AND contains(t, term))
 UNION ALL SELECT request_id, NULL, count(*) FROM terms WHERE term = '' GROUP BY 1"""
 )
 def score_text(t: Tables) -> DataFrame:
-    return search.score_text(t.documents(), search.normalise_requests(t.requests()))
+    return search.score_text(t.index(), search.normalise_requests(t.requests()))
 
 
 @query(with_views(*_SEARCH) + "SELECT request_id, rank, basket_id, score FROM ranked")
 def search_scored(t: Tables) -> DataFrame:
-    ranked = search.search_scored(t.documents(), search.normalise_requests(t.requests()))
+    ranked = search.search_scored(t.index(), search.normalise_requests(t.requests()))
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -81,20 +110,24 @@ def search_scored(t: Tables) -> DataFrame:
 FROM asked a CROSS JOIN docs d WHERE {_PASSES} QUALIFY rank <= 100"""
 )
 def search_text(t: Tables) -> DataFrame:
-    found = search.search_text(t.documents(), search.normalise_requests(t.requests()))
+    found = search.search_text(t.index(), search.normalise_requests(t.requests()))
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _TALK = r"""talk AS (
-  SELECT conv_id * 1000 + turn AS request_id, string_split_regex(text, '\s+') AS w FROM conversations),
-asks AS (SELECT request_id, w[1:3] AS terms FROM talk)"""
+  SELECT conv_id * 1000 + turn AS request_id, string_split_regex(text, '\s+') AS terms FROM conversations),
+asks AS (
+  SELECT request_id, list_transform(terms, lambda x: strip_accents(lower(x))) AS terms FROM talk
+  UNION ALL SELECT -request_id, list_transform(terms[:3], lambda x: strip_accents(lower(x))) FROM talk)"""
 
 
 def _talk_requests(t: Tables) -> DataFrame:
-    """The first three words of every conversation turn."""
-    return t.raw("conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
-        F.slice(F.split("text", r"\s+"), 1, 3).alias("terms"),
+    """All words of every conversation turn, and its first three words."""
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    words = F.split("text", r"\s+")
+    turns = t.raw("conversations")
+    return turns.select(number.alias("request_id"), words.alias("terms")).unionByName(
+        turns.select((-number).alias("request_id"), F.slice(words, 1, 3).alias("terms"))
     )
 
 
@@ -102,31 +135,33 @@ def _talk_requests(t: Tables) -> DataFrame:
     with_views(_TALK, DOCS)
     + """SELECT request_id, basket_id, row_number() OVER (
   PARTITION BY request_id ORDER BY title, basket_id) AS rank
-FROM asks, docs
-WHERE len(list_filter(terms, lambda x: NOT contains(t, strip_accents(lower(x))))) = 0
+FROM asks, docs WHERE len(list_filter(terms, lambda x: NOT contains(t, x))) = 0
 QUALIFY rank <= 100"""
 )
 def search_all_terms(t: Tables) -> DataFrame:
-    found = search.search_all_terms(t.documents(), _talk_requests(t))
+    found = search.search_all_terms(t.index(), _talk_requests(t))
     return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _WILD = r"""wild AS (
   SELECT item_id AS request_id,
     '%' || strip_accents(lower(substr(w, 1, 2) || '%' || substr(w, 4, 1) || '_')) || '%' AS pattern
-  FROM (SELECT item_id, string_split(text, ' ')[3] AS w FROM benchmark))"""
+  FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w FROM benchmark)),
+patterns AS (SELECT request_id, pattern, count(*) AS times FROM wild GROUP BY ALL),
+hits AS (SELECT pattern, basket_id FROM (SELECT DISTINCT pattern FROM patterns), docs WHERE t LIKE pattern)"""
 
 
 @query(
-    with_views(_WILD, DOCS)
-    + "SELECT request_id, basket_id, CAST(1 AS BIGINT) AS score FROM wild, docs WHERE t LIKE pattern"
+    with_views(DOCS, _WILD)
+    + """SELECT request_id, basket_id, sum(times)::BIGINT AS score FROM hits JOIN patterns USING (pattern) GROUP BY 1, 2"""
 )
 def score_wildcards(t: Tables) -> DataFrame:
-    """Typed wildcards: two letters, anything, a letter and one more character."""
-    word = F.split("text", " ")[2]
-    pattern = F.concat(F.substring(word, 1, 2), F.lit("%"), F.substring(word, 4, 1), F.lit("_"))
-    requests = t.raw("benchmark").select(F.col("item_id").alias("request_id"), F.array(pattern).alias("terms"))
-    return search.score_text(t.documents(), requests, wildcards=True)
+    """Typed wildcards for every word of a text: two letters, anything, a letter and one more character."""
+    word = F.explode(F.split("text", " ")).alias("word")
+    pattern = F.concat(F.substring("word", 1, 2), F.lit("%"), F.substring("word", 4, 1), F.lit("_"))
+    words = t.raw("benchmark").select(F.col("item_id").alias("request_id"), word)
+    requests = words.groupBy("request_id").agg(F.collect_list(pattern).alias("terms"))
+    return search.score_text(t.index(), requests, wildcards=True)
 
 
 _ITEMISED = f"""itemised AS (
@@ -156,7 +191,7 @@ _WHOLE = (*_SEARCH, BRIDGE, ITEMS, STOCK, EVENTS, TOGGLES, FAVOURITES, _ITEMISED
 
 @query(with_views(*_WHOLE) + "SELECT * FROM recommended")
 def recommend(t: Tables) -> DataFrame:
-    rows = answer_requests(t.text_catalog(), t.requests())
+    rows = answer_requests(t.searched_catalog(), t.requests())
     return rows.select(
         "request_id",
         F.col("rank").cast("bigint").alias("rank"),
@@ -184,7 +219,7 @@ def recommend(t: Tables) -> DataFrame:
 )
 def recommend_json(t: Tables) -> DataFrame:
     """Answer rows as JSON with nulls present; the long text as its digest."""
-    rows = answer_requests(t.text_catalog(), t.requests())
+    rows = answer_requests(t.searched_catalog(), t.requests())
     fields = [
         F.col("basket_id").alias("id"),
         "title",
@@ -239,7 +274,7 @@ def favourites_view(t: Tables) -> DataFrame:
 
 
 def _ranked(t: Tables) -> DataFrame:
-    return search.search_scored(t.documents(), search.normalise_requests(t.requests()))
+    return search.search_scored(t.index(), search.normalise_requests(t.requests()))
 
 
 @query(

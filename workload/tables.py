@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketmatch.operators.skew import checkpointed
+from basketmatch.operators.wordindex import WordIndex, build_index
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
+# Indexes of this process by application and folder, as a catalogue would have them.
+_INDEXES: dict[tuple[str, str], WordIndex] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -83,6 +88,13 @@ class Tables:
             none.alias("image_url"),
         )
 
+    def index(self) -> WordIndex:
+        """The documents' word index: built at the first search, then used by all."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _INDEXES:
+            _INDEXES[key] = build_index(self.documents())
+        return _INDEXES[key]
+
     def toggles(self) -> DataFrame:
         return self.events().filter("event_type = 'click'").select(
             F.col("user_id").alias("session_id"), F.col("k").alias("basket_id"), "ts", "seq"
@@ -136,6 +148,9 @@ class Tables:
             "favourites": self.favourites(),
         }
 
+    def searched_catalog(self) -> dict[str, DataFrame | WordIndex]:
+        return self.text_catalog() | {"index": self.index()}
+
     def order_catalog(self) -> dict[str, DataFrame]:
         return self.text_catalog() | {"baskets": self.orders(), "items": self.unique_items()}
 
