@@ -34,44 +34,59 @@ def line_words(line: Column) -> Column:
 
 def _span(n: Column, i: Column, step: int) -> Column:
     """Lines of the shortest run of MIN_WORDS words from ``i`` on, forwards or backwards; null if there are too few."""
+    words, found = F.get(n, i), F.when(F.get(n, i) >= MIN_WORDS, 1)
+    for d in range(1, FEW_LINES):
+        words = words + F.get(n, i + d * step)
+        found = found.when(words >= MIN_WORDS, d + 1)
+    return found.otherwise(_counted(n, i, step)["lines"])
+
+
+def _counted(n: Column, i: Column, step: int) -> Column:
+    """(words, lines) of that run by a loop; null lines if there are too few words."""
     def longer(state: Column, d: Column) -> Column:
         more = F.struct((state["words"] + F.coalesce(F.get(n, i + d * step), F.lit(0))).alias("words"), (d + 1).alias("lines"))
         return F.when(state["words"] >= MIN_WORDS, state).otherwise(more)
 
     # Every line here has a word at least.
     zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    loop = F.aggregate(
-        F.sequence(F.lit(0), F.lit(MIN_WORDS - 1)), zero, longer, lambda s: F.when(s["words"] >= MIN_WORDS, s["lines"])
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(MIN_WORDS - 1)),
+        zero,
+        longer,
+        lambda s: F.struct(s["words"].alias("words"), F.when(s["words"] >= MIN_WORDS, s["lines"]).alias("lines")),
     )
-    words, found = F.get(n, i), F.when(F.get(n, i) >= MIN_WORDS, 1)
+
+
+def _tight(n: Column, i: Column) -> Column:
+    """Lines of the shortest run of MIN_WORDS words from ``i`` on, if it is so backwards too: without
+    line ``i`` it has too few words."""
+    first = F.get(n, i)
+    found = F.when(first >= MIN_WORDS, 1)
+    rest = F.lit(0)
     for d in range(1, FEW_LINES):
-        words = words + F.get(n, i + d * step)
-        found = found.when(words >= MIN_WORDS, d + 1)
-    return found.otherwise(loop)
+        rest = rest + F.get(n, i + d)
+        found = found.when(rest >= MIN_WORDS - first, F.when(rest < MIN_WORDS, d + 1))
+    run = _counted(n, i, 1)
+    return found.otherwise(F.when(run["words"] - first < MIN_WORDS, run["lines"]))
 
 
 def _listed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, h, cut, ahead, behind): per text the hashes of its lines that are not blank.
+    """(doc_id, th, h, n, cut): per text the hashes and words of its lines that are not blank.
 
     Line ``k`` of these and the blank ones after it are the lines cut[k] to
-    cut[k + 1] - 1 of the text. ahead and behind have the lines of the shortest run
-    that begins or ends there.
+    cut[k + 1] - 1 of the text.
     """
     some = docs.where(F.btrim("text", F.lit(" \t\r\n")) != "")
     texts = some.select("doc_id", F.xxhash64("text").alias("th"), lines(F.col("text")).alias("ls"))
     words = texts.select(*_KEY, "ls", F.transform("ls", line_words).alias("words"))
     idx = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("words", i) > 0)
     full = words.select(*_KEY, "ls", "words", idx.alias("idx"))
-    full = full.select(
+    return full.select(
         *_KEY,
         F.transform("idx", lambda i: line_hash(F.get("ls", i))).alias("h"),
         F.transform("idx", lambda i: F.get("words", i)).alias("n"),
         F.concat(F.array(F.lit(0)), F.slice("idx", 2, F.size("idx")), F.array(F.size("ls"))).alias("cut"),
     )
-    every = F.sequence(F.lit(0), F.size("n") - 1)
-    ahead = F.transform(every, lambda i: _span(F.col("n"), i, 1))
-    behind = F.transform(every, lambda i: _span(F.col("n"), i, -1))
-    return full.select(*_KEY, "h", "cut", ahead.alias("ahead"), behind.alias("behind"))
 
 
 def _marks(at: DataFrame, found: Column) -> DataFrame:
@@ -118,15 +133,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         return F.struct(i.alias("i"), size.alias("size"))
 
     # Every long enough run holds a window that is shortest from both of its ends.
-    tight = F.transform(
-        F.filter(every, lambda i: F.get("behind", i + F.get("ahead", i) - 1) == F.get("ahead", i)), lambda i: window(i, F.get("ahead", i))
-    )
+    tight = F.filter(F.transform(every, lambda i: window(i, _tight(F.col("n"), i))), lambda w: w["size"].isNotNull())
     repeated = stored(_met(_marks(listed, tight), "tight"), "repeated")
 
     # A window that is shortest from one end holds a single tight one, at its other
     # end; only where that is repeated can it be. They reach the lines at the edges.
     seen = repeated.groupBy(*_KEY).agg(F.collect_set("s").alias("seen"))
     near = listed.join(seen, _same(listed, seen, _KEY)).drop(seen["doc_id"], seen["th"])
+    n = F.col("n")
+    spans = [F.transform(every, lambda i: _span(n, i, 1)).alias("ahead"), F.transform(every, lambda i: _span(n, i, -1)).alias("behind")]
+    near = near.select(*_KEY, "h", "cut", "seen", *spans)
     ahead, behind = F.col("ahead"), F.col("behind")
 
     def tight_is_seen(i: Column) -> Column:
