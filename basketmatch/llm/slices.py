@@ -15,6 +15,14 @@ from pyspark.sql.types import StructType
 ROWS = 500
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what one has taken is given back before the next, as workers live on."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
     """``run`` over ``df`` in slices of ROWS rows. Whole numbers stay exact beside nulls."""
     types = to_arrow_schema(StructType.fromDDL(schema))
@@ -25,7 +33,7 @@ def map_slices(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[p
                 yield batch.slice(at, ROWS).to_pandas(integer_object_nulls=True)
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in run(slices(batches)):
+        for out in run(slices(released(batches))):
             yield pa.RecordBatch.from_pandas(out, schema=types, preserve_index=False)
 
     return df.mapInArrow(arrow, schema)
@@ -53,7 +61,7 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], s
                 yield from zip(*(c.to_pylist() for c in batch.slice(at, ROWS).columns))
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = run(rows(batches))
+        out = run(rows(released(batches)))
         while held := list(islice(out, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types.types)], schema=types)
 

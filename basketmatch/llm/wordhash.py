@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed together; longer texts are cut between words.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Places whose runs are hashed together.
 BLOCK = 1 << 16
 
