@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from basketmatch.functions.text import collated, trim_blanks
 from basketmatch.operators.skew import join_lookup, join_skewed, number_rows
-from basketmatch.schemas import FOREIGN_KEYS, UNIQUE_KEYS, apply_defaults
+from basketmatch.schemas import ADDED, ALREADY, FOREIGN_KEYS, INVALID, UNIQUE_KEYS, apply_defaults
 
 _NAME_KEY = "_name_key"
 
@@ -59,6 +59,29 @@ def add_stock(stock: DataFrame, incoming: DataFrame) -> DataFrame:
     return insert_ignore(stock, earliest, keys)
 
 
+def add_stock_by_name(
+    items: DataFrame, stock: DataFrame, incoming: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Add typed item names to owners' stock; unknown names become items first.
+
+    ``incoming`` is (seq, owner_id, name, added_at). Returns the items and the stock
+    afterwards, and (seq, owner_id, name, item_id, result) for each row: 'invalid' for a
+    blank name, 'added' for the first row of an item that its owner did not have, else
+    'already there'.
+    """
+    everything, resolved, rejects = get_or_create_items(items, incoming.select("seq", "name"))
+    keys = ["owner_id", "item_id"]
+    rows = incoming.select("seq", "owner_id", "added_at").join(resolved, "seq")
+    first = rows.groupBy(*keys).agg(F.min("seq").alias("_first"), F.min_by("added_at", "seq").alias("added_at"))
+    fresh = first.join(stock.select(*keys), keys, "left_anti")
+    added = F.when(F.col("seq") == F.col("_first"), F.lit(ADDED)).otherwise(F.lit(ALREADY))
+    told = join_skewed(rows.drop("added_at"), fresh.drop("added_at"), keys, ["seq"], "left")
+    valid = told.select("seq", "owner_id", "name", "item_id", added.alias("result"))
+    invalid = incoming.select("seq", "owner_id").join(rejects.select("seq", "name"), "seq")
+    invalid = invalid.withColumns({"item_id": F.lit(None).cast("bigint"), "result": F.lit(INVALID)})
+    return everything, stock.unionByName(fresh.select(*stock.columns)), valid.unionByName(invalid)
+
+
 def append_baskets(baskets: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add baskets in the order of ``seq``; ids go on from the largest, defaults fill in.
 

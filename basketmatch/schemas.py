@@ -78,6 +78,8 @@ NOW_COLUMNS = {
     "favourites": "created_at",
 }
 DIFFICULTIES = ("kolay", "orta", "zor")
+# The outcomes of single changes.
+ADDED, ALREADY, INVALID, REMOVED = "added", "already there", "invalid", "removed"
 
 # child table, child column -> parent table (same column name)
 FOREIGN_KEYS = (

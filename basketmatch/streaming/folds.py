@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from basketmatch.functions.text import trim_blanks
 from basketmatch.operators.skew import join_skewed, previous_value, running_sum
+from basketmatch.schemas import ADDED, ALREADY, INVALID, REMOVED
 
-# Operations of a change log and the outcomes of single changes.
+# Operations of a change log.
 ADD, SET, REMOVE, CLEAR = "add", "set", "remove", "clear"
-ADDED, ALREADY, INVALID, REMOVED = "added", "already there", "invalid", "removed"
 
 _KEY = ["scope_id", "key"]
 
@@ -144,3 +144,22 @@ def change_results(log: DataFrame, rows_per_task: int | None = None) -> DataFram
         .select(*columns)
         .unionByName(life.filter(~named).withColumn("result", F.lit(INVALID)).select(*columns))
     )
+
+
+def clear_results(log: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+    """Each clear of a stock log with the number of rows that it deletes (``deleted``).
+
+    A clear deletes the keys whose last change since the scope's clear before was an add.
+    """
+    log = named_changes(log)
+    op = F.col("op")
+    is_clear = F.when(op == CLEAR, 1).otherwise(0)
+    life = running_sum(
+        log.filter(op.isin(ADD, REMOVE, CLEAR)), ["scope_id"], "ts", "seq", is_clear, "_life", rows_per_task
+    )
+    last = life.filter(op != CLEAR).filter(_has_name()).groupBy(*_KEY, "_life").agg(F.max_by("op", F.struct("ts", "seq")).alias("_op"))
+    present = last.filter(F.col("_op") == ADD).groupBy("scope_id", "_life").agg(F.count(F.lit(1)).alias("deleted"))
+    # The n-th clear ends the life before it.
+    clears = life.filter(op == CLEAR).withColumn("_life", F.col("_life") - 1)
+    told = clears.join(present, ["scope_id", "_life"], "left")
+    return told.select("scope_id", "ts", "seq", F.coalesce("deleted", F.lit(0)).alias("deleted"))

@@ -141,3 +141,18 @@ def test_seed_files_by_name_and_by_format(spark, tmp_path):
         readers.load_seed(spark, str(tmp_path / "seed.txt"), "items")
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ_FILE|BAD_RECORD"):
         readers.load_seed(spark, str(tmp_path / "bad.csv"), "items").collect()
+
+
+def test_add_stock_by_name(spark, catalog):
+    rows = [(1, "o1", " MANDALINA ", at(1)), (2, "o2", "mandalina", at(2)), (3, "o2", "Mandalina", at(3)), (4, "o1", " \t", at(4)),
+            (5, "o1", "Tarçın", at(5)), (6, "o2", "tarcin", at(6)), (7, "o1", "TARÇIN", at(7)), (8, "o3", None, at(8))]
+    incoming = spark.createDataFrame(rows, "seq long, owner_id string, name string, added_at timestamp")
+    items, stock, told = upkeep.add_stock_by_name(catalog["items"], catalog["stock"], incoming)
+    assert {r.seq: r.result for r in told.collect()} == {
+        1: "already there", 2: "added", 3: "already there", 4: "invalid", 5: "added", 6: "added", 7: "already there", 8: "invalid",
+    }
+    assert {r.seq: r.item_id for r in told.collect() if r.seq in (1, 2, 5, 6)} == {1: 1, 2: 1, 5: 13, 6: 13}
+    assert items.count() == 13
+    before = {(r.owner_id, r.item_id) for r in catalog["stock"].collect()}
+    after = {(r.owner_id, r.item_id): r.added_at for r in stock.collect()}
+    assert set(after) == before | {("o2", 1), ("o1", 13), ("o2", 13)} and after["o2", 1] == at(2)

@@ -67,12 +67,41 @@ GROUP BY 1, 2"""
 )
 def coverage_of_own_orders(t: Tables) -> DataFrame:
     """Every order against the stock of its customer's nation."""
+    return coverage.coverage_of(_own_orders(t), t.bridge(), t.stock())
+
+
+def _own_orders(t: Tables) -> DataFrame:
     orders, customers = t.raw("orders"), t.raw("customer")
-    pairs = orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(
+    return orders.join(customers, orders["o_custkey"] == customers["c_custkey"]).select(
         F.col("c_nationkey").cast("bigint").alias("owner_id"),
         F.col("o_orderkey").alias("basket_id"),
     )
-    return coverage.coverage_of(pairs, t.bridge(), t.stock())
+
+
+@query(
+    with_views(BRIDGE, STOCK, SIZES, _COVERAGE) + "SELECT * FROM scored WHERE 100 * have >= 80 * need"
+)
+def coverage_at_least(t: Tables) -> DataFrame:
+    """Pairs of which four fifths or more are in stock."""
+    return coverage.coverage_at_least(t.bridge(), t.stock(), 80)
+
+
+@query(
+    with_views(BRIDGE, STOCK, UNIQUE_ITEMS)
+    + """SELECT p.owner_id, p.basket_id,
+  coalesce(string_agg(i.name, ',' ORDER BY i.name) FILTER (s.item_id IS NOT NULL), '') AS items_have,
+  coalesce(string_agg(i.name, ',' ORDER BY i.name) FILTER (i.item_id IS NOT NULL AND s.item_id IS NULL), '')
+    AS items_missing
+FROM (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS owner_id, o_orderkey AS basket_id
+      FROM orders JOIN customer ON c_custkey = o_custkey) p
+LEFT JOIN bridge b ON b.basket_id = p.basket_id LEFT JOIN items i ON i.item_id = b.item_id
+LEFT JOIN stock s ON s.owner_id = p.owner_id AND s.item_id = b.item_id
+GROUP BY 1, 2"""
+)
+def have_missing_of_own_orders(t: Tables) -> DataFrame:
+    """The lists of every order against the stock of its customer's nation."""
+    lists = coverage.have_missing_of(_own_orders(t), t.bridge(), t.unique_items(), t.stock())
+    return lists.withColumns({c: F.array_join(c, ",") for c in ("items_have", "items_missing")})
 
 
 @query(

@@ -24,6 +24,13 @@ def _incoming(t: Tables) -> DataFrame:
     return t.raw("customer").select(n.alias("seq"), name.alias("name"))
 
 
+# Names typed for an owner's stock: a part for each order, some unknown, some blank.
+_TYPED = """typed AS (
+  SELECT o_orderkey AS seq, o_orderkey % 25 AS owner_id,
+    CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN name || '?' ELSE upper(name) END AS name
+  FROM orders JOIN items ON item_id = o_custkey)"""
+
+
 @query(
     with_views(UNIQUE_ITEMS, _INCOMING)
     + """, latest AS (
@@ -42,6 +49,31 @@ def upsert_items(t: Tables) -> DataFrame:
     return upkeep.upsert_items(t.unique_items(), incoming)
 
 
+@query(
+    with_views(STOCK, UNIQUE_ITEMS, _TYPED)
+    + """, named AS (
+  SELECT t.*, i.item_id FROM typed t LEFT JOIN items i ON lower(i.name) = lower(t.name)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY owner_id, lower(name) ORDER BY seq) AS nth FROM named)
+SELECT n.seq, n.owner_id, n.name, n.item_id IS NULL AND n.name <> '' AS is_new,
+  CASE WHEN n.name = '' THEN 'invalid' WHEN n.nth = 1 AND s.item_id IS NULL THEN 'added'
+    ELSE 'already there' END AS result
+FROM numbered n LEFT JOIN stock s ON s.owner_id = n.owner_id AND s.item_id = n.item_id"""
+)
+def add_stock_by_name(t: Tables) -> DataFrame:
+    """A part typed by name for each order, for the stock of one of the owners."""
+    n, orders, parts = F.col("o_orderkey"), t.raw("orders"), t.unique_items()
+    named = orders.join(parts, orders["o_custkey"] == parts["item_id"])
+    unknown = F.concat("name", F.lit("?"))
+    name = F.when(n % 7 == 0, F.lit(" \t")).when(n % 11 == 0, unknown).otherwise(F.concat(F.lit(" "), F.upper("name")))
+    incoming = named.select(n.alias("seq"), (n % 25).alias("owner_id"), name.alias("name"), F.col("o_orderdate").alias("added_at"))
+    known = t.unique_items().select("item_id")
+    _, _, told = upkeep.add_stock_by_name(t.unique_items(), t.stock(), incoming)
+    flagged = told.join(known.withColumn("_known", F.lit(True)), "item_id", "left")
+    is_new = (F.col("_known").isNull() & F.col("item_id").isNotNull()).alias("is_new")
+    return flagged.select("seq", "owner_id", "name", is_new, "result")
+
+
 @query(
     with_views(UNIQUE_ITEMS, _INCOMING)
     + """, first_new AS (
