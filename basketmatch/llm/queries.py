@@ -42,9 +42,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     items as (
       select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
         when len(w) > 0 then [w] else [] end) s from item_words),
+    lengths as (select distinct least(len(w), 5) k from item_words where len(w) > 0),
     docs as (
-      select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
-        when len(w) > 0 then [w] else [] end) s from doc_words),
+      select distinct doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) s
+      from doc_words, lengths where len(w) >= k),
     sizes as (select item_id, count(*) n_shingles from items group by item_id)
     select doc_id, item_id, n_shingles, count(*) n_found, count(*) / n_shingles containment
     from docs join items using (s) join sizes using (item_id)
