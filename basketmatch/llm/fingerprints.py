@@ -15,8 +15,8 @@ from basketmatch.llm.slices import map_slices
 from basketmatch.llm.wordhash import mix
 
 #: A paragraph's vector: 16 lanes modulo 2**64 that decide equality, filled from
-#: its digest, and 128 lanes modulo 2**16 for likeness, to which each window of 16
-#: bytes adds 1 or -1 in one lane.
+#: its digest, and 128 lanes modulo 2**32 for likeness, to which each window of 16
+#: bytes adds 1 or -1 in one lane. They are exact for texts of up to 2**31 bytes.
 LANES, LIKE_LANES, WINDOW = 16, 128, 16
 #: Bytes whose windows are hashed at once.
 PIECE = 1 << 18
@@ -56,7 +56,7 @@ def vectors(text: str) -> tuple[np.ndarray, np.ndarray]:
         piece = raw[at : at + PIECE + WINDOW - 1]
         breaks = np.concatenate([[0], np.cumsum(np.frombuffer(piece, np.uint8) == 10)])
         like += _signed(_windows(piece)[breaks[WINDOW:] == breaks[:-WINDOW]])
-    return lanes, like.astype(np.uint16)
+    return lanes, like.astype(np.uint32)
 
 
 class Fingerprint:
@@ -74,14 +74,15 @@ class Fingerprint:
         self.lanes, self.like = self.lanes - lanes, self.like - like
 
     def __str__(self) -> str:
-        return base64.b64encode(self.lanes.astype("<u8").tobytes() + self.like.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.lanes.astype("<u8").tobytes() + self.like.astype("<u4").tobytes()).decode()
 
     def likeness(self, other: Fingerprint) -> float:
         """1 for equal multisets; else the cosine of the likeness lanes, which estimates
-        that of the texts' windows to about 0.09, from 0 and under 1."""
+        that of the texts' windows to about 0.09, from 0 and under 1. It is 0 where the
+        lanes of one of them cancel out, as those of an empty text do."""
         if (self.lanes == other.lanes).all():
             return 1.0
-        a, b = self.like.view(np.int16).astype(float), other.like.view(np.int16).astype(float)
+        a, b = self.like.view(np.int32).astype(float), other.like.view(np.int32).astype(float)
         norm = np.sqrt(a @ a) * np.sqrt(b @ b)
         return float(min(max(a @ b / norm, 0.0), 0.999)) if norm else 0.0
 
@@ -91,7 +92,7 @@ def parse(text: str) -> Fingerprint:
     raw = base64.b64decode(text)
     out = Fingerprint()
     out.lanes = np.frombuffer(raw[: 8 * LANES], "<u8").astype(np.uint64)
-    out.like = np.frombuffer(raw[8 * LANES :], "<u2").astype(np.uint16)
+    out.like = np.frombuffer(raw[8 * LANES :], "<u4").astype(np.uint32)
     return out
 
 
