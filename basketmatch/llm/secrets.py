@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,33 +32,42 @@ CONTEXT = re.compile(rf"""{_NAME}(?!{_NAME})([^\s"'<>,;]{{6,}})""", re.I | re.A)
 LEAST_GUESSES = 8.0
 #: Rows of a keyboard.
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-#: Longest word, repeat or walk that is looked for at one place; longer ones are cut.
-LONGEST = 24
 
 _DATE = re.compile(r"(?:19|20)\d\d(?:([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d")
 _STEP = {(a, b) for row in KEYBOARD for a, b in zip(row, row[1:])} | {(b, a) for row in KEYBOARD for a, b in zip(row, row[1:])}
 
 
-def word_ranks(path: str) -> dict[str, int]:
+class Words(dict):
+    """Words with their ranks, and the length of the longest."""
+
+    longest = 0
+
+    def add(self, word: str) -> None:
+        self.setdefault(word, len(self) + 1)
+        self.longest = max(self.longest, len(word))
+
+
+def word_ranks(path: str) -> Words:
     """Words of three or more letters of a tokenizer's rank file, by their order there."""
-    words: dict[str, int] = {}
+    words = Words()
     for token in read_ranks(path):
         word = token.decode("utf-8", "ignore").strip().lower()
         if len(word) >= 3 and word.isalpha():
-            words.setdefault(word, len(words) + 1)
+            words.add(word)
     return words
 
 
-def guesses(value: str, words: dict[str, int]) -> float:
+def guesses(value: str, words: Words) -> float:
     """Power of ten of the guesses that the cheapest segmentation of ``value`` takes.
 
     Segments are words (by rank, with twice the guesses for capitals), dates, runs
     of one character, keyboard walks and steps through the alphabet or digits, and
-    single characters by brute force. The cost of a place is the least over the
-    segments that end there.
+    single characters by brute force. Runs, walks and steps go as far as they reach.
+    The cost of a place is the least over the segments that end there.
     """
     n, low = len(value), value.lower()
     best = [0.0] + [math.inf] * n
+    ends = [_reach(low, link) for link in (_same, _walks, _steps)]
     for i in range(n):
         here = best[i]
         c = value[i]
@@ -69,33 +78,42 @@ def guesses(value: str, words: dict[str, int]) -> float:
                 best[end] = here + cost
 
         offer(i + 1, math.log10(kinds))
-        for end in range(i + 3, min(n, i + LONGEST) + 1):
+        for end in range(i + 3, min(n, i + words.longest) + 1):
             rank = words.get(low[i:end])
             if rank:
                 offer(end, math.log10(rank + 1) + (0.0 if value[i:end] == low[i:end] else math.log10(2)))
         date = _DATE.match(value, i)
         if date:
             offer(date.end(), math.log10(120) if date.end() - i == 4 else math.log10(365 * 120))
-        for link, base in ((_same, kinds), (_walks, 47), (_steps, kinds)):
-            end = i + 1
-            while end < min(n, i + LONGEST) and link(low[end - 1], low[end], low[i], low[i + 1]):
-                end += 1
-            if end - i >= 3:
-                offer(end, math.log10(base * (end - i)))
+        for reach, base in zip(ends, (kinds, 47, kinds)):
+            if reach[i] - i >= 3:
+                offer(reach[i], math.log10(base * (reach[i] - i)))
     return best[n]
 
 
-def _same(a: str, b: str, first: str, second: str) -> bool:
-    return a == b
+def _reach(text: str, link: Callable[[str, str], int | None]) -> list[int]:
+    """For each place the end of the longest segment from it whose characters go on in the
+    same way, from the last place to the first."""
+    ends = [len(text)] * len(text)
+    way = None  # how the character after goes on to the one after it
+    for i in range(len(text) - 2, -1, -1):
+        step = link(text[i], text[i + 1])
+        ends[i] = i + 1 if step is None else ends[i + 1] if step == way else i + 2
+        way = step
+    return ends
+
+
+def _same(a: str, b: str) -> int | None:
+    return 0 if a == b else None
 
 
-def _walks(a: str, b: str, first: str, second: str) -> bool:
-    return (a, b) in _STEP
+def _walks(a: str, b: str) -> int | None:
+    return 0 if (a, b) in _STEP else None
 
 
-def _steps(a: str, b: str, first: str, second: str) -> bool:
-    step = ord(second) - ord(first)
-    return abs(step) == 1 and ord(b) - ord(a) == step
+def _steps(a: str, b: str) -> int | None:
+    step = ord(b) - ord(a)
+    return step if abs(step) == 1 else None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -115,7 +133,7 @@ _HEX_BYTES = bytes(104 if b in b"0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = b"h" * LEAST["hex"]
 
 
-def guess_spans(text: str, base: list[tuple[int, int, str]], words: dict[str, int]) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, base: list[tuple[int, int, str]], words: Words) -> list[tuple[int, int, str]]:
     """Values in a credential's context that no base span touches and that are costly to guess."""
     low = text.lower()
     if not any(w in low for w in ("pass", "pwd", "secret", "token", "credential", "key")):
@@ -132,7 +150,7 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def secrets(docs: DataFrame, words: dict[str, int]) -> DataFrame:
+def secrets(docs: DataFrame, words: Words) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess.
 
     Spans are in code points, end exclusive, by start and then kind; ``guess`` spans
