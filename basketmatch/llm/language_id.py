@@ -21,7 +21,7 @@ EPOCHS, BATCH, RATE = 6, 32, 0.01
 #: Windows that are convolved at once.
 AT_ONCE = 128
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -33,6 +33,11 @@ class Network:
     bias: np.ndarray | None = None
 
 
+def has_letter(text: str) -> bool:
+    """Is there a letter: fractions, superscripts and Roman numerals are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def windows(text: str | None) -> np.ndarray:
     """All windows of the lower-case text, the last one filled with zeros."""
     raw = np.frombuffer((text or "").lower().encode("utf-8", "replace"), np.uint8)
@@ -131,7 +136,7 @@ def fit(docs: DataFrame) -> Network:
         for batch in batches:
             rows = []
             for lang, place, text in zip(batch["lang"], batch["draw"], batch["text"]):
-                if _LETTER.search(text):
+                if has_letter(text):
                     x = windows(text)
                     at = np.unique(np.linspace(0, len(x) - 1, PER_DOCUMENT).astype(int))
                     rows.append((lang, place, x[at].tobytes()))
@@ -161,7 +166,7 @@ def predicted(docs: DataFrame, net: Network) -> DataFrame:
         for batch in batches:
             names, scores = [], []
             for text in batch["text"]:
-                if not net.languages or not text or not _LETTER.search(text):
+                if not net.languages or not text or not has_letter(text):
                     names.append("und")
                     scores.append(0.0)
                     continue
