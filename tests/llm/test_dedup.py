@@ -242,28 +242,34 @@ def letters(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def item_set(text):
+def item_set(text, k=5):
+    """Runs of k words; an item of fewer words is one run."""
     w = letters(text)
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def run_length(item):
+    return min(5, len(letters(item)))
 
 
 def test_contaminated_equals_exact_containment(spark, make):
     rng = random.Random(4)
-    items = [(i, prose(rng, n)) for i, n in enumerate([3, 5, 12, 30, 45, 80, 300, 400])] + [(90, None), (91, ""), (None, "null id")]
+    items = [(i, prose(rng, n)) for i, n in enumerate([3, 5, 12, 30, 45, 80, 300, 400])] + [(80, "Zulu"), (81, "yes, Zulu no")] + [(90, None), (91, ""), (None, "null id")]
     rows = list(ODD)
     for i, text in items[:8]:
         rows.append((100 + i, f"{prose(rng, 500)} {text.upper()}, {prose(rng, 3000)}"))
         rows.append((200 + i, f"{prose(rng, 50)} {changed(rng, text, max(1, len(text.split()) // 60))} {prose(rng, 50)}"))
         rows.append((300 + i, f"{prose(rng, 50)} {' '.join(text.split()[: len(text.split()) // 2])}"))
-    rows += [(400, items[0][1] + "!"), (401, prose(rng, 5000))]
+    rows += [(400, items[0][1] + "!"), (401, prose(rng, 5000)), (402, "so Yes Zulu; no end"), (403, "yes no zulu")]
     bench = spark.createDataFrame([(*r, "x", "y") for r in items], "item_id long, text string, doc_id string, h string")
     got = {(r.doc_id, r.item_id): (r.n_found, r.n_shingles) for r in decontaminate.contaminated(make(rows), bench).collect()}
     want = {}
     for d, t in rows:
         for i, q in items:
-            if d is not None and i is not None and item_set(q) and 100 * len(item_set(q) & item_set(t)) >= 75 * len(item_set(q)):
-                want[d, i] = (len(item_set(q) & item_set(t)), len(item_set(q)))
-    assert got == want and (400, 0) in want and (107, 7) in want
+            common = len(item_set(q) & item_set(t, run_length(q))) if letters(q) else 0
+            if d is not None and i is not None and letters(q) and 100 * common >= 75 * len(item_set(q)):
+                want[d, i] = (common, len(item_set(q)))
+    assert got == want and {(400, 0), (107, 7), (100, 0), (402, 80), (402, 81), (403, 80)} <= set(want) and (403, 81) not in want
     kept = {r.doc_id for r in decontaminate.without_contaminated(make(rows), bench).collect()}
     assert kept == {d for d, _ in rows} - {d for d, _ in want}
     assert decontaminate.contaminated(make([]), bench).count() == 0

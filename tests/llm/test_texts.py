@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from pathlib import Path
@@ -75,6 +76,9 @@ def test_fingerprints_add_and_subtract():
     b.delete("more")
     assert str(a) == str(b) == str(fingerprints.parse(str(a)))
     assert str(fingerprints.Fingerprint("one\none")) != str(fingerprints.Fingerprint("one"))
+    # Lanes do not wrap, however often a text repeats itself.
+    for unit, small, large in (("a", 10_000, 20_000), ("a", 20_000, 40_000), ("a", 500_000, 1_000_000), ("the same words again. ", 20_000, 40_000)):
+        assert fingerprints.Fingerprint(unit * small).likeness(fingerprints.Fingerprint(unit * large)) > 0.99
     empty = fingerprints.Fingerprint(None)
     assert empty.likeness(fingerprints.Fingerprint("")) == 1.0 and empty.likeness(a) == 0.0
 
@@ -158,6 +162,116 @@ def test_guess_costs_follow_the_cheapest_segments():
     cheap = [secrets.guesses(v, words) for v in ("aaaaaaaaaaaa", "qwertyuiop", "20240131", "abcdefgh", "the")]
     assert max(cheap) < 5 < secrets.LEAST_GUESSES < secrets.guesses("x9$kQ!zv7#Lw", words)
     assert secrets.guesses("", words) == 0
+    for long in ("a" * 100, "*" * 80, "-" * 60, "qwertyuiop" * 1 + "p" * 500):
+        assert secrets.guesses(long, words) < secrets.LEAST_GUESSES - 1, long
+    assert secrets.guesses("a" * 100, words) < secrets.guesses("a" * 24, words) + 1
+
+
+def test_guess_costs_equal_every_segmentation():
+    """The least over all ways to cut a value, by recursion over its segments."""
+    words = secrets.Words()
+    for word in ("cat", "dogs", "atd"):
+        words.add(word)
+    rng = random.Random(12)
+
+    def reach(low, i):
+        links = [lambda a, b: a == b, lambda a, b: (a, b) in secrets._STEP]
+        found = []
+        for link in links:
+            end = i + 1
+            while end < len(low) and link(low[end - 1], low[end]):
+                end += 1
+            found.append(end)
+        end = i + 1
+        while end < len(low) and abs(ord(low[end]) - ord(low[end - 1])) == 1 and ord(low[end]) - ord(low[end - 1]) == ord(low[i + 1]) - ord(low[i]):
+            end += 1
+        return [*found, end]
+
+    def least(value, i, memo):
+        if i == len(value):
+            return 0.0
+        if i not in memo:
+            c, low = value[i], value.lower()
+            kinds = 10 if c.isdigit() else 26 if c.isalpha() else 33
+            options = [math.log10(kinds) + least(value, i + 1, memo)]
+            for word, rank in words.items():
+                if low.startswith(word, i):
+                    cost = math.log10(rank + 1) + (0 if value.startswith(word, i) else math.log10(2))
+                    options.append(cost + least(value, i + len(word), memo))
+            date = secrets._DATE.match(value, i)
+            if date:
+                options.append(math.log10(120 if date.end() - i == 4 else 365 * 120) + least(value, date.end(), memo))
+            for end, base in zip(reach(low, i), (kinds, 47, kinds)):
+                if end - i >= 3:
+                    options.append(math.log10(base * (end - i)) + least(value, end, memo))
+            memo[i] = min(options)
+        return memo[i]
+
+    for _ in range(400):
+        value = "".join(rng.choice(["a", "b", "c", "Cat", "dogs", "7", "789", "qwe", "*", "**", "1999", "catd"]) for _ in range(rng.randint(0, 9)))
+        assert abs(secrets.guesses(value, words) - least(value, 0, {})) < 1e-9, value
+
+
+def test_base_spans_equal_a_naive_scan():
+    """Every place is tried in turn; matches of one kind do not overlap."""
+    rng = random.Random(13)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "\"", "'", ":", "=", " ", "  ", "abc/def+1", "short", "AKIA", "Z9" * 9, "0af" * 9, "\n", "é", "ſecret", "İ"]
+    name = {"password", "passwd", "secret", "token", "api_key", "apikey"}
+    signs = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def assign(text, i):
+        ends = set()
+        for word in name:
+            j = i + len(word)
+            if "".join(c.lower() if c.isascii() else c for c in text[i:j]) != word:
+                continue
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "=") or not text[j : j + 1]:
+                continue
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+            end = j
+            while end < len(text) and text[end] in signs:
+                end += 1
+            if end > j:
+                ends.add((end, end - j))
+        return max(ends, default=None)
+
+    def run(text, i, head, chars):
+        if not text.startswith(head, i):
+            return None
+        end = i + len(head)
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return (end, end - i) if end > i + len(head) else None
+
+    scans = {
+        "assign": (assign, 6),
+        "access": (lambda t, i: run(t, i, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20),
+        "hex": (lambda t, i: run(t, i, "", "0123456789abcdef"), 24),
+    }
+    for _ in range(600):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = []
+        for kind, (scan, size) in scans.items():
+            i = 0
+            while i < len(text):
+                found = scan(text, i)
+                if found and found[1] >= size:
+                    want.append((i, found[0], kind))
+                i = found[0] if found else i + 1
+        assert secrets.base_spans(text) == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2]))), text
+
+
+def test_letters_are_told_from_numbers():
+    for text in ("½", "²", "Ⅷ", "①", "12 _", ""):
+        assert not language_id.has_letter(text), text
+    for text in ("½a", "é", "日", "ª"):
+        assert language_id.has_letter(text), text
 
 
 TOXIC = [f"zurk{c}" for c in "abcdef"]
