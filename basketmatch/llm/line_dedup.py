@@ -1,11 +1,13 @@
-"""Repeated runs of lines across documents, by hashes of all shortest runs that are long enough.
+"""Repeated runs of lines across documents, by winnowing over line hashes.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketmatch.llm.scratch import stored
@@ -16,22 +18,32 @@ MIN_WORDS = 20
 FEW_LINES = 4
 
 _KEY = ["doc_id", "th"]
+_CUT = "\0"
 
 
 def lines(text: Column) -> Column:
     """The text cut after each newline, and after ``. ! ?`` and a blank; nothing is lost."""
-    return F.array_remove(F.split(text, r"(?<=\n|[.!?] )"), "")
+    marked = text
+    for end in ["\n", ". ", "! ", "? "]:
+        marked = F.replace(marked, F.lit(end), F.lit(end + _CUT))
+    # A split at one plain character needs no regular expression; a text that holds it does.
+    parts = F.when(F.contains(text, F.lit(_CUT)), F.split(text, r"(?<=\n|[.!?] )")).otherwise(F.split(marked, _CUT))
+    return F.array_remove(parts, "")
 
 
-def line_hash(line: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(line, F.lit(" \t\r\n"))))
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r\n"))
 
 
-def line_words(line: Column) -> Column:
-    bare = F.btrim(line, F.lit(" \t\r\n"))
+def _words(bare: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _span(n: Column, i: Column, step: int) -> Column:
     """Lines of the shortest run of MIN_WORDS words from ``i`` on, forwards or backwards; null if there are too few."""
     words, found = F.get(n, i), F.when(F.get(n, i) >= MIN_WORDS, 1)
@@ -77,91 +89,113 @@ def _listed(docs: DataFrame) -> DataFrame:
     cut[k + 1] - 1 of the text.
     """
     some = docs.where(F.btrim("text", F.lit(" \t\r\n")) != "")
-    texts = some.select("doc_id", F.xxhash64("text").alias("th"), lines(F.col("text")).alias("ls"))
-    words = texts.select(*_KEY, "ls", F.transform("ls", line_words).alias("words"))
+    texts = some.select("doc_id", F.xxhash64("text").alias("th"), F.transform(lines(F.col("text")), _bare).alias("ls"))
+    words = texts.select(*_KEY, "ls", F.transform("ls", _words).alias("words"))
     idx = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("words", i) > 0)
     full = words.select(*_KEY, "ls", "words", idx.alias("idx"))
     return full.select(
         *_KEY,
-        F.transform("idx", lambda i: line_hash(F.get("ls", i))).alias("h"),
+        F.transform("idx", lambda i: F.xxhash64(F.lower(F.get("ls", i)))).alias("h"),
         F.transform("idx", lambda i: F.get("words", i)).alias("n"),
         F.concat(F.array(F.lit(0)), F.slice("idx", 2, F.size("idx")), F.array(F.size("ls"))).alias("cut"),
     )
 
 
-def _marks(at: DataFrame, found: Column) -> DataFrame:
-    """(doc_id, th, gram, s, e): a row for each window (i, size) of ``found``."""
-    marks = at.select(*_KEY, "h", "cut", F.explode(found).alias("w"))
-    first, size = F.col("w.i"), F.col("w.size")
-    return marks.select(
-        *_KEY, F.xxhash64(F.slice("h", first + 1, size)).alias("gram"), F.get("cut", first).alias("s"), (F.get("cut", first + size) - 1).alias("e")
-    )
-
-
-def _met(marks: DataFrame, name: str) -> DataFrame:
-    """(doc_id, th, s, e, later): places of the grams that occur more than once; all but the first are later."""
-    marks = stored(marks, name)
-    first = marks.groupBy("gram").agg(F.min(F.struct(*_KEY, "s")).alias("src"), F.count("*").alias("times"))
-    # Written, so that the join has a plain exchange on either side and a very
-    # common line can be split.
-    first = stored(first.where("times > 1").drop("times"), "first")
-    later = F.expr("not (src.doc_id <=> doc_id and src.th = th and src.s = s)")
-    return marks.join(first, "gram").select(*_KEY, "s", "e", later.alias("later"))
+def _lines_of(i: Column, size: Column) -> Column:
+    return F.slice("h", i + 1, size)
 
 
-def _merged(places: Column) -> Column:
-    """Sorted (s, e) with those joined that overlap or touch."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    run = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
-    zero = F.struct(none.alias("runs"), F.lit(None).cast("struct<s:int,e:int>").alias("last"))
+def _minimum(i: Column, size: Column) -> Column:
+    """Place of the smallest line hash of a window, the rightmost of equal ones."""
+    return _with(_lines_of(i, size), lambda w: i + size - F.array_position(F.reverse(w), F.array_min(w)).cast("int"))
 
-    def step(state: Column, x: Column) -> Column:
-        last = state["last"]
-        apart = last.isNotNull() & (x["s"] > last["e"] + 1)
-        joined = F.when(last.isNull() | apart, x).otherwise(run(last["s"], F.greatest(last["e"], x["e"])))
-        return F.struct(F.when(apart, F.concat(state["runs"], F.array(last))).otherwise(state["runs"]).alias("runs"), joined.alias("last"))
 
-    return F.aggregate(F.array_sort(places), zero, step, lambda s: F.concat(s["runs"], F.array(s["last"])))
+def _recurring(listed: DataFrame) -> DataFrame:
+    """(doc_id, th, at): the places, ascending, of the window minima whose line hash is selected elsewhere too.
 
-
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, runs): for documents with later repeats, their line numbers (s to e, from 0)."""
-    listed = stored(_listed(docs), "lines")
+    The windows are the shortest runs of MIN_WORDS words, from both of their ends.
+    """
     every = F.sequence(F.lit(0), F.size("h") - 1)
+    low = F.transform(every, lambda i: _with(_tight(F.col("n"), i), lambda size: F.when(size.isNotNull(), _minimum(i, size))))
+    places = listed.select(*_KEY, "h", F.explode(F.array_distinct(F.array_compact(low))).alias("at"))
+    places = stored(places.select(*_KEY, "at", F.get("h", F.col("at")).alias("mark")), "minima")
+    # Written, so that the join has a plain exchange on either side and a very
+    # common line can be split.
+    marks = stored(places.groupBy("mark").count().where("count > 1").select("mark"), "marks")
+    return places.join(marks, "mark", "left_semi").groupBy(*_KEY).agg(F.array_sort(F.collect_set("at")).alias("at"))
 
-    def window(i: Column, size: Column) -> Column:
-        return F.struct(i.alias("i"), size.alias("size"))
 
-    # Every long enough run holds a window that is shortest from both of its ends.
-    tight = F.filter(F.transform(every, lambda i: window(i, _tight(F.col("n"), i))), lambda w: w["size"].isNotNull())
-    repeated = stored(_met(_marks(listed, tight), "tight"), "repeated")
+def _flags(at: Column) -> Column:
+    """True at the places of ``at``, which ascend, and false before and between them."""
+    before = lambda k: F.coalesce(F.get(at, k - 1), F.lit(-1))
+    return F.flatten(F.transform(at, lambda p, k: F.concat(F.array_repeat(F.lit(False), p - before(k) - 1), F.array(F.lit(True)))))
+
 
-    # A window that is shortest from one end holds a single tight one, at its other
-    # end; only where that is repeated can it be. They reach the lines at the edges.
-    seen = repeated.groupBy(*_KEY).agg(F.collect_set("s").alias("seen"))
-    near = listed.join(seen, _same(listed, seen, _KEY)).drop(seen["doc_id"], seen["th"])
+def _extended(listed: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(doc_id, th, mark, gram, s, e): the windows around recurring minima, and these
+    windows with the lines on either side that take another 20 words' run to reach.
+    """
+    every = F.sequence(F.lit(0), F.size("h") - 1)
     n = F.col("n")
+    near = listed.join(recurring, _same(listed, recurring, _KEY)).drop(recurring["doc_id"], recurring["th"])
     spans = [F.transform(every, lambda i: _span(n, i, 1)).alias("ahead"), F.transform(every, lambda i: _span(n, i, -1)).alias("behind")]
-    near = near.select(*_KEY, "h", "cut", "seen", *spans)
+    near = near.select(*_KEY, "h", "cut", _flags(F.col("at")).alias("flags"), *spans)
     ahead, behind = F.col("ahead"), F.col("behind")
 
-    def tight_is_seen(i: Column) -> Column:
-        return F.array_contains("seen", F.get("cut", i))
+    def kept(i: Column) -> Column:
+        size = F.get(ahead, i)
+        return F.when(F.get(behind, i + size - 1) == size, F.coalesce(F.get("flags", _minimum(i, size)), F.lit(False)))
+
+    near = near.select(*_KEY, "h", "cut", "ahead", "behind", F.transform(every, kept).alias("kept"))
 
-    def loose_ahead(i: Column) -> Column:
+    # A run that is shortest from one end holds a single window, at its other end.
+    def forwards(i: Column) -> Column:
         end = i + F.get(ahead, i) - 1
-        return (F.get(behind, end) != F.get(ahead, i)) & tight_is_seen(end - F.get(behind, end) + 1)
+        return (F.get(behind, end) != F.get(ahead, i)) & F.get("kept", end - F.get(behind, end) + 1)
 
-    def loose_behind(j: Column) -> Column:
+    def backwards(j: Column) -> Column:
         begin = j - F.get(behind, j) + 1
-        return (F.get(ahead, begin) != F.get(behind, j)) & tight_is_seen(begin)
+        return (F.get(ahead, begin) != F.get(behind, j)) & F.get("kept", begin)
+
+    def window(i: Column, size: Column) -> Column:
+        return F.struct(i.alias("i"), size.alias("size"))
 
-    loose = F.concat(
-        F.transform(F.filter(every, loose_ahead), lambda i: window(i, F.get(ahead, i))),
-        F.transform(F.filter(every, loose_behind), lambda j: window(j - F.get(behind, j) + 1, F.get(behind, j))),
+    found = F.concat(
+        F.transform(F.filter(every, lambda i: F.get("kept", i) | forwards(i)), lambda i: window(i, F.get(ahead, i))),
+        F.transform(F.filter(every, backwards), lambda j: window(j - F.get(behind, j) + 1, F.get(behind, j))),
     )
-    later = repeated.unionByName(_met(_marks(near, loose), "loose")).where("later")
-    return later.groupBy(*_KEY).agg(F.collect_set(F.struct("s", "e")).alias("places")).select(*_KEY, _merged(F.col("places")).alias("runs"))
+    rows = near.select(*_KEY, "h", "cut", F.explode(found).alias("w"))
+    first, size = F.col("w.i"), F.col("w.size")
+    run = _lines_of(first, size)
+    return rows.select(
+        *_KEY,
+        F.array_min(run).alias("mark"),
+        F.xxhash64(run).alias("gram"),
+        F.get("cut", first).alias("s"),
+        (F.get("cut", first + size) - 1).alias("e"),
+    )
+
+
+def _later(runs: DataFrame) -> DataFrame:
+    """(doc_id, th, s, e): the runs that occur more than once, but for the first of each."""
+    runs = stored(runs, "windows")
+    first = runs.groupBy("mark", "gram").agg(F.min(F.struct(*_KEY, "s")).alias("src"), F.count("*").alias("times"))
+    first = stored(first.where("times > 1").drop("times"), "first")
+    later = F.expr("not (src.doc_id <=> doc_id and src.th = th and src.s = s)")
+    return runs.join(first, ["mark", "gram"]).where(later).select(*_KEY, "s", "e")
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, runs): for documents with later repeats, their line numbers (s to e, from 0)."""
+    listed = stored(_listed(docs), "lines")
+    later = _later(_extended(listed, _recurring(listed)))
+    # Joined where they overlap or touch.
+    order = Window.partitionBy(*_KEY).orderBy("s", "e")
+    reached = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.coalesce(F.col("s") > reached + 1, F.lit(True)).cast("int"))
+    later = later.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = later.groupBy(*_KEY, "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
 def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
@@ -179,10 +213,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     A line is deleted if it lies in a run of 20 words or more that also occurs
     earlier, in the order of (doc_id, hash of the text, line); the first occurrence
-    of a line stays. All such runs are found, whatever stands around them: every
-    line of one lies in the shortest run of 20 words from it forwards, or in that
-    backwards from the end, and these are compared by their hashes, each with the
-    first in the corpus. removed has what is deleted, in as few pieces as possible.
+    of a line stays. All such runs are found, whatever stands around them. Of each
+    window, a run of lines that has 20 words but not without its first or its last
+    line, the smallest line hash is selected; a repeated run has the same windows at
+    all its places, hence the same selected lines. Where a selected line recurs, its
+    windows are extended both ways by the lines that they need to reach the edges of
+    a run, and compared, by their smallest line hash and a hash of all, with the
+    first such run in the corpus: with each kind of surroundings, not with one place.
+    removed has what is deleted, in as few pieces as possible.
 
     Null and empty texts come back unchanged. Rows that repeat doc_id and text are
     one document. A text that is a repeat as a whole becomes empty.
@@ -195,7 +233,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     on = keyed["doc_id"].eqNullSafe(runs["_dedup_id"]) & (keyed["_dedup_key"] == runs["_dedup_th"])
     joined = keyed.join(runs.hint("merge"), on, "left")
     found = F.col("_dedup_runs")
-    left = F.filter(lines(F.col("text")), lambda line, i: ~F.exists(found, lambda r: (r["s"] <= i) & (i <= r["e"])))
-    text = F.when(found.isNull(), F.col("text")).otherwise(F.array_join(left, ""))
+
+    def between(ls: Column, k: Column) -> Column:
+        """The lines after run k - 1 and before run k."""
+        begin = F.coalesce(F.get(found, k - 1)["e"] + 1, F.lit(0))
+        return F.slice(ls, begin + 1, F.coalesce(F.get(found, k)["s"], F.size(ls)) - begin)
+
+    gaps = F.sequence(F.lit(0), F.size(found))
+    left = _with(lines(F.col("text")), lambda ls: F.array_join(F.flatten(F.transform(gaps, lambda k: between(ls, k))), ""))
+    text = F.when(found.isNull(), F.col("text")).otherwise(left)
     removed = F.coalesce(found, F.array().cast("array<struct<s:int,e:int>>"))
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in keep), removed.alias("removed"))

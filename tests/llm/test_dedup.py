@@ -110,7 +110,7 @@ def brute_lines(text):
 
 
 def test_lines_lose_nothing(spark):
-    texts = ["a. b! c? d\ne", "", "\n\n", "no end", "A!! B!! C. \x01 ", "x.y z. "]
+    texts = ["a. b! c? d\ne", "", "\n\n", "no end", "A!! B!! C. \x01 ", "x.y z. ", "\0", "a. \0b! \0\n\0", ". ! ? \n"]
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", line_dedup.lines(F.col("text")).alias("ls"))
     for r in df.collect():
         assert "".join(r.ls) == r.text and r.ls == brute_lines(r.text)
