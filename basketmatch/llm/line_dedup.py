@@ -50,7 +50,8 @@ def _span(n: Column, i: Column, step: int) -> Column:
     for d in range(1, FEW_LINES):
         words = words + F.get(n, i + d * step)
         found = found.when(words >= MIN_WORDS, d + 1)
-    return found.otherwise(_counted(n, i, step)["lines"])
+    # Where the text ends before, there are too few.
+    return found.when(F.get(n, i + (FEW_LINES - 1) * step).isNotNull(), _counted(n, i, step)["lines"])
 
 
 def _counted(n: Column, i: Column, step: int) -> Column:
@@ -79,7 +80,8 @@ def _tight(n: Column, i: Column) -> Column:
         rest = rest + F.get(n, i + d)
         found = found.when(rest >= MIN_WORDS - first, F.when(rest < MIN_WORDS, d + 1))
     run = _counted(n, i, 1)
-    return found.otherwise(F.when(run["words"] - first < MIN_WORDS, run["lines"]))
+    more = F.get(n, i + FEW_LINES - 1).isNotNull()
+    return found.when(more, F.when(run["words"] - first < MIN_WORDS, run["lines"]))
 
 
 def _listed(docs: DataFrame) -> DataFrame:
