@@ -89,3 +89,17 @@ def test_sparse_numbers_make_few_ranges(spark):
     numbered = skew.number_rows(df, "seq", "no", width=10)
     assert sorted((r.no, r.seq) for r in numbered.collect()) == [(i + 1, i * 10**12 - 7) for i in range(40)]
     assert skew.number_rows(df.limit(0), "seq", "no").count() == 0
+
+
+def test_ranges_that_are_numbered_stay_small(spark):
+    """Rows may carry whole texts, so a task must not get a million of them."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        numbered = skew.number_rows(spark.range(5 * skew.RANGE_ROWS).withColumnRenamed("id", "seq"), "seq", "no")
+        assert numbered.filter("no = seq + 1").count() == 5 * skew.RANGE_ROWS
+        assert numbered.groupBy(F.spark_partition_id()).count().count() > 1
+        numbered = skew.number_rows(spark.range(500).withColumnRenamed("id", "seq"), "seq", "no", width=5)
+        assert numbered.rdd.getNumPartitions() == 10 and numbered.filter("no = seq + 1").count() == 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
