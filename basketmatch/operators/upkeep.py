@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketmatch.functions.text import collated, trim_blanks
-from basketmatch.operators.skew import join_lookup, join_skewed, number_rows
+from basketmatch.operators.skew import checkpointed, join_lookup, join_skewed, number_rows
 from basketmatch.schemas import ADDED, ALREADY, FOREIGN_KEYS, INVALID, UNIQUE_KEYS, apply_defaults
 
 _NAME_KEY = "_name_key"
@@ -69,9 +69,11 @@ def add_stock_by_name(
     blank name, 'added' for the first row of an item that its owner did not have, else
     'already there'.
     """
+    # used several times each: written once
+    incoming = checkpointed(incoming.select("seq", "owner_id", "name", "added_at"))
     everything, resolved, rejects = get_or_create_items(items, incoming.select("seq", "name"))
     keys = ["owner_id", "item_id"]
-    rows = incoming.select("seq", "owner_id", "added_at").join(resolved, "seq")
+    rows = checkpointed(incoming.drop("name").join(resolved, "seq"))
     first = rows.groupBy(*keys).agg(F.min("seq").alias("_first"), F.min_by("added_at", "seq").alias("added_at"))
     fresh = first.join(stock.select(*keys), keys, "left_anti")
     added = F.when(F.col("seq") == F.col("_first"), F.lit(ADDED)).otherwise(F.lit(ALREADY))
@@ -105,12 +107,14 @@ def get_or_create_items(
     for each valid name, and the rejected (empty) ones. New ids follow the order
     of first arrival.
     """
-    trimmed = names.withColumn("name", F.coalesce(trim_blanks("name"), F.lit("")))
+    # names and new ones are used several times: written once, the collation of a name costs
+    trimmed = checkpointed(names.select("seq", F.coalesce(trim_blanks("name"), F.lit("")).alias("name")))
     rejects = trimmed.filter(F.col("name") == "")
     valid = _keyed(trimmed.filter(F.col("name") != ""))
     known = _keyed(items).select(_NAME_KEY, "item_id")
     first = valid.groupBy(_NAME_KEY).agg(F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"))
-    created = number_rows(first.join(known, _NAME_KEY, "left_anti"), "seq", "_no").withColumn(
+    unknown = checkpointed(first.join(known, _NAME_KEY, "left_anti").select("seq", "name"))
+    created = _keyed(number_rows(unknown, "seq", "_no")).withColumn(
         "item_id", _last(items, "item_id") + F.col("_no")
     )
     added = created.select("item_id", "name")
