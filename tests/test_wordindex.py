@@ -81,3 +81,37 @@ def test_baskets_that_cannot_reach_the_last_rank_are_not_read(spark, monkeypatch
     scores = sorted(((-sum(t in text for t in ("ana", "bal", "kivi", "x1")), f"t{i:03}", i) for i, text in enumerate(texts)))
     assert [(r.basket_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(i, -s) for s, _, i in scores[:10]]
     assert sum(read) <= 40
+
+
+def test_words_are_sorted_in_tasks_of_few_baskets(spark, tmp_path, monkeypatch):
+    """A task's memory must not grow with the table."""
+    monkeypatch.setattr(wordindex, "BASKETS_PER_TASK", 1)
+    index = wordindex.build_index(table(spark, "baskets", BASKETS), str(tmp_path / "index"), buckets=2)
+    monkeypatch.undo()
+    assert index.texts().count() > 0 and len(list((tmp_path / "index" / "texts").rglob("part-*.parquet"))) > 2
+    whole = wordindex.build_index(table(spark, "baskets", BASKETS), str(tmp_path / "whole"), buckets=2)
+    assert rows(index.postings()) == rows(whole.postings()) and rows(index.words()) == rows(whole.words())
+
+
+def test_postings_do_not_travel_to_many_words(spark, catalog, monkeypatch, capsys):
+    index = wordindex.build_index(catalog["baskets"])
+    terms = spark.createDataFrame([("mandalina",), ("biberiye",), ("su",)], "term string")
+    lookup = search.look_up(index, terms, False)
+    want = rows(search.find_narrow(lookup))
+    monkeypatch.setattr(search, "WORDS_PER_CHUNK", 1)
+    hits = search.find_narrow(lookup)
+    assert rows(hits) == want and want
+    capsys.readouterr()
+    hits.explain()
+    assert "hashpartitioning(word" not in capsys.readouterr().out
+
+
+def test_rounds_of_a_search_for_all_terms(spark, catalog, monkeypatch):
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate([["su"], ["a"], ["a", "e"], ["i", "a", "n"], [""], []])], "request_id bigint, terms array<string>")
+    index = wordindex.build_index(catalog["baskets"])
+    for limit in (1, 2, 100):
+        want = rows(search.search_all_terms(index, asked, limit))
+        with monkeypatch.context() as m:
+            for name, value in (("ROUND_BASKETS", 1), ("ROUND_GROWTH", 2), ("QUESTIONS_PER_PASS", 2)):
+                m.setattr(search, name, value)
+            assert rows(search.search_all_terms(index, asked, limit)) == want and want
