@@ -14,8 +14,6 @@ from basketmatch.llm.scratch import stored
 
 #: Words of a run that is deleted.
 MIN_WORDS = 20
-#: Lines up to which a window is found without a loop.
-FEW_LINES = 4
 
 _KEY = ["doc_id", "th"]
 _CUT = "\0"
@@ -36,7 +34,8 @@ def _bare(line: Column) -> Column:
 
 
 def _words(bare: Column) -> Column:
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+    blanks = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+    return F.when(bare == "", 0).otherwise(blanks + 1)
 
 
 def _with(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,46 +43,6 @@ def _with(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _span(n: Column, i: Column, step: int) -> Column:
-    """Lines of the shortest run of MIN_WORDS words from ``i`` on, forwards or backwards; null if there are too few."""
-    words, found = F.get(n, i), F.when(F.get(n, i) >= MIN_WORDS, 1)
-    for d in range(1, FEW_LINES):
-        words = words + F.get(n, i + d * step)
-        found = found.when(words >= MIN_WORDS, d + 1)
-    # Where the text ends before, there are too few.
-    return found.when(F.get(n, i + (FEW_LINES - 1) * step).isNotNull(), _counted(n, i, step)["lines"])
-
-
-def _counted(n: Column, i: Column, step: int) -> Column:
-    """(words, lines) of that run by a loop; null lines if there are too few words."""
-    def longer(state: Column, d: Column) -> Column:
-        more = F.struct((state["words"] + F.coalesce(F.get(n, i + d * step), F.lit(0))).alias("words"), (d + 1).alias("lines"))
-        return F.when(state["words"] >= MIN_WORDS, state).otherwise(more)
-
-    # Every line here has a word at least.
-    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(MIN_WORDS - 1)),
-        zero,
-        longer,
-        lambda s: F.struct(s["words"].alias("words"), F.when(s["words"] >= MIN_WORDS, s["lines"]).alias("lines")),
-    )
-
-
-def _tight(n: Column, i: Column) -> Column:
-    """Lines of the shortest run of MIN_WORDS words from ``i`` on, if it is so backwards too: without
-    line ``i`` it has too few words."""
-    first = F.get(n, i)
-    found = F.when(first >= MIN_WORDS, 1)
-    rest = F.lit(0)
-    for d in range(1, FEW_LINES):
-        rest = rest + F.get(n, i + d)
-        found = found.when(rest >= MIN_WORDS - first, F.when(rest < MIN_WORDS, d + 1))
-    run = _counted(n, i, 1)
-    more = F.get(n, i + FEW_LINES - 1).isNotNull()
-    return found.when(more, F.when(run["words"] - first < MIN_WORDS, run["lines"]))
-
-
 def _listed(docs: DataFrame) -> DataFrame:
     """(doc_id, th, h, n, cut): per text the hashes and words of its lines that are not blank.
 
@@ -92,89 +51,136 @@ def _listed(docs: DataFrame) -> DataFrame:
     """
     some = docs.where(F.btrim("text", F.lit(" \t\r\n")) != "")
     texts = some.select("doc_id", F.xxhash64("text").alias("th"), F.transform(lines(F.col("text")), _bare).alias("ls"))
-    words = texts.select(*_KEY, "ls", F.transform("ls", _words).alias("words"))
-    idx = F.filter(F.sequence(F.lit(0), F.size("ls") - 1), lambda i: F.get("words", i) > 0)
-    full = words.select(*_KEY, "ls", "words", idx.alias("idx"))
-    return full.select(
-        *_KEY,
-        F.transform("idx", lambda i: F.xxhash64(F.lower(F.get("ls", i)))).alias("h"),
-        F.transform("idx", lambda i: F.get("words", i)).alias("n"),
-        F.concat(F.array(F.lit(0)), F.slice("idx", 2, F.size("idx")), F.array(F.size("ls"))).alias("cut"),
-    )
 
+    def line(bare: Column, i: Column) -> Column:
+        return F.struct(F.xxhash64(F.lower(bare)).alias("h"), _words(bare).alias("n"), i.alias("i"))
+
+    full = texts.select(*_KEY, F.size("ls").alias("size"), F.filter(F.transform("ls", line), lambda x: x["n"] > 0).alias("full"))
+    idx = F.col("full.i")
+    cut = F.concat(F.array(F.lit(0)), F.slice(idx, 2, F.size(idx)), F.array("size"))
+    return full.select(*_KEY, F.col("full.h").alias("h"), F.col("full.n").alias("n"), cut.alias("cut"))
 
-def _lines_of(i: Column, size: Column) -> Column:
-    return F.slice("h", i + 1, size)
 
+def _by_word(listed: DataFrame, *arrays: str) -> DataFrame:
+    """A row for each word, at place ``p`` of the text, beside the arrays of its text.
 
-def _minimum(i: Column, size: Column) -> Column:
-    """Place of the smallest line hash of a window, the rightmost of equal ones."""
-    return _with(_lines_of(i, size), lambda w: i + size - F.array_position(F.reverse(w), F.array_min(w)).cast("int"))
+    A word is line * 1024 + its place in the line * 32 + words of the line, which is
+    cut to MIN_WORDS words; ``own`` has those of the text. So the line that holds the
+    20th word from here is found without counting. What follows has plain columns
+    only: Spark compiles it with the explode into one loop, in which no row is made
+    that would hold these arrays.
+    """
+    def words(n: Column, i: Column) -> Column:
+        first, n = i.cast("bigint") * 1024, F.least(n, F.lit(MIN_WORDS))
+        return F.sequence(first + n, first + n * 33 - 32, F.lit(32).cast("bigint"))
 
+    own = listed.select(*_KEY, "h", *arrays, F.flatten(F.transform("n", words)).alias("own"))
+    # The outer form, as the plain one has the array made once more to leave out empty ones.
+    return own.select(*_KEY, "h", *arrays, "own", F.posexplode_outer("own").alias("p", "w"))
+
+
+def _line(w: Column) -> Column:
+    return F.shiftright(w, 10).cast("int")
+
+
+def _before(w: Column) -> Column:
+    """Words before this one in its line."""
+    return F.shiftright(w, 5).bitwiseAND(31).cast("int")
+
+
+def _after(w: Column) -> Column:
+    """Words after this one in its line."""
+    return w.bitwiseAND(31).cast("int") - 1 - _before(w)
 
-def _recurring(listed: DataFrame) -> DataFrame:
-    """(doc_id, th, at): the places, ascending, of the window minima whose line hash is selected elsewhere too.
 
-    The windows are the shortest runs of MIN_WORDS words, from both of their ends.
+def _word(p: Column) -> Column:
+    return F.get("own", p)
+
+
+def _lines_of(first: Column, size: Column) -> Column:
+    return F.slice("h", first + 1, size)
+
+
+def _lowest(first: Column, run: Column) -> Column:
+    """Place of the smallest line hash of the lines ``run``, which begin at ``first``; the rightmost of equal ones."""
+    return first + F.size(run) - F.array_position(F.reverse(run), F.array_min(run)).cast("int")
+
+
+def _minima(listed: DataFrame) -> DataFrame:
+    """(doc_id, th, at, mark): the place of the smallest line hash of each window, and that hash.
+
+    The windows are the shortest runs of MIN_WORDS words, from both of their ends. One
+    that selects the same place as the window from the line before is left out.
     """
-    every = F.sequence(F.lit(0), F.size("h") - 1)
-    low = F.transform(every, lambda i: _with(_tight(F.col("n"), i), lambda size: F.when(size.isNotNull(), _minimum(i, size))))
-    places = listed.select(*_KEY, "h", F.explode(F.array_distinct(F.array_compact(low))).alias("at"))
-    places = stored(places.select(*_KEY, "at", F.get("h", F.col("at")).alias("mark")), "minima")
+    p, reach = F.col("p"), MIN_WORDS - 1
+    rows = _by_word(listed).where(_before(F.col("w")) == 0)
+    rows = rows.select(*_KEY, "h", "own", "p", _line(F.col("w")).alias("first"), _word(p + reach).alias("end"), _word(p - 1).alias("prior"))
+    # The run from the line before, and the shortest one to the end of this one.
+    longer = _line(_word(p - 1 - _before(F.col("prior")) + reach))
+    begin = _line(_word(p + _after(F.col("end"))))
+    rows = rows.select(*_KEY, "h", "first", _line(F.col("end")).alias("last"), begin.alias("begin"), longer.alias("longer"))
+    first, last, longer = F.col("first"), F.col("last"), F.col("longer")
+    runs = F.array(_lines_of(first, last - first + 1))
+    rows = rows.where("begin <=> first").select(*_KEY, "h", "first", "last", "longer", F.explode(runs).alias("run"))
+    rows = rows.select(*_KEY, "h", "first", "last", "longer", _lowest(first, F.col("run")).alias("at"))
+    # If both end at the same line, the longer one is no window.
+    at, hash_at = F.col("at"), F.get("h", F.col("at"))
+    again = (longer < last) & (at <= longer) & (hash_at <= F.get("h", first - 1))
+    return rows.where(~F.coalesce(again, F.lit(False))).select(*_KEY, "at", hash_at.alias("mark"))
+
+
+def _recurring(listed: DataFrame) -> DataFrame:
+    """(doc_id, th, at): the places, ascending, of the window minima whose line hash is selected elsewhere too."""
+    places = stored(_minima(listed), "minima")
+    # A place may come twice; places differ if one of the parts of their keys does.
+    differ = [F.min(c) != F.max(c) for c in ["th", "at", "doc_id", F.col("doc_id").isNull()]]
     # Written, so that the join has a plain exchange on either side and a very
     # common line can be split.
-    marks = stored(places.groupBy("mark").count().where("count > 1").select("mark"), "marks")
+    some = F.coalesce(differ[0] | differ[1] | differ[3], F.lit(False)) | F.coalesce(differ[2], F.lit(False))
+    marks = stored(places.groupBy("mark").agg(some.alias("recurs")).where("recurs").select("mark"), "marks")
     return places.join(marks, "mark", "left_semi").groupBy(*_KEY).agg(F.array_sort(F.collect_set("at")).alias("at"))
 
 
-def _flags(at: Column) -> Column:
-    """True at the places of ``at``, which ascend, and false before and between them."""
+def _following(at: Column) -> Column:
+    """For each line up to the last of ``at``, which ascend, the place of ``at`` that is there or comes next."""
     before = lambda k: F.coalesce(F.get(at, k - 1), F.lit(-1))
-    return F.flatten(F.transform(at, lambda p, k: F.concat(F.array_repeat(F.lit(False), p - before(k) - 1), F.array(F.lit(True)))))
+    return F.flatten(F.transform(at, lambda p, k: F.array_repeat(p, p - before(k))))
 
 
 def _extended(listed: DataFrame, recurring: DataFrame) -> DataFrame:
     """(doc_id, th, mark, gram, s, e): the windows around recurring minima, and these
     windows with the lines on either side that take another 20 words' run to reach.
     """
-    every = F.sequence(F.lit(0), F.size("h") - 1)
-    n = F.col("n")
     near = listed.join(recurring, _same(listed, recurring, _KEY)).drop(recurring["doc_id"], recurring["th"])
-    spans = [F.transform(every, lambda i: _span(n, i, 1)).alias("ahead"), F.transform(every, lambda i: _span(n, i, -1)).alias("behind")]
-    near = near.select(*_KEY, "h", "cut", _flags(F.col("at")).alias("flags"), *spans)
-    ahead, behind = F.col("ahead"), F.col("behind")
+    rows = _by_word(near.withColumn("following", _following(F.col("at"))), "cut", "following")
+    kept, p, w, reach = [*_KEY, "h", "cut", "following"], F.col("p"), F.col("w"), MIN_WORDS - 1
+    is_first, is_last = _before(w) == 0, _after(w) == 0
+    rows = rows.where(is_first | is_last)
+    rows = rows.select(*kept, "own", "p", "w", F.when(is_first, _word(p + reach)).alias("to"), F.when(is_last, _word(p - reach)).alias("since"))
+    to, since = F.col("to"), F.col("since")
 
-    def kept(i: Column) -> Column:
-        size = F.get(ahead, i)
-        return F.when(F.get(behind, i + size - 1) == size, F.coalesce(F.get("flags", _minimum(i, size)), F.lit(False)))
-
-    near = near.select(*_KEY, "h", "cut", "ahead", "behind", F.transform(every, kept).alias("kept"))
+    def run(first: Column, last: Column, begin: Column, end: Column) -> Column:
+        return F.struct(first.alias("first"), last.alias("last"), begin.alias("begin"), end.alias("end"))
 
     # A run that is shortest from one end holds a single window, at its other end.
-    def forwards(i: Column) -> Column:
-        end = i + F.get(ahead, i) - 1
-        return (F.get(behind, end) != F.get(ahead, i)) & F.get("kept", end - F.get(behind, end) + 1)
-
-    def backwards(j: Column) -> Column:
-        begin = j - F.get(behind, j) + 1
-        return (F.get(ahead, begin) != F.get(behind, j)) & F.get("kept", begin)
-
-    def window(i: Column, size: Column) -> Column:
-        return F.struct(i.alias("i"), size.alias("size"))
-
-    found = F.concat(
-        F.transform(F.filter(every, lambda i: F.get("kept", i) | forwards(i)), lambda i: window(i, F.get(ahead, i))),
-        F.transform(F.filter(every, backwards), lambda j: window(j - F.get(behind, j) + 1, F.get(behind, j))),
-    )
-    rows = near.select(*_KEY, "h", "cut", F.explode(found).alias("w"))
-    first, size = F.col("w.i"), F.col("w.size")
-    run = _lines_of(first, size)
+    forwards = run(_line(w), _line(to), _line(_word(p + _after(to))), _line(to))
+    backwards = run(_line(since), _line(w), _line(since), _line(_word(p - _before(since))))
+    both = F.array(F.when(to.isNotNull(), forwards), F.when(since.isNotNull(), backwards))
+    rows = rows.select(*kept, "to", F.posexplode(both).alias("way", "w"))
+    rows = rows.select(*kept, "way", "w.*").where("way = 0 and first is not null or way = 1 and end < last")
+    begin, end = F.col("begin"), F.col("end")
+    windows = F.array(_lines_of(begin, end - begin + 1))
+    rows = rows.select(*kept, "first", "last", "begin", F.explode(windows).alias("window"))
+    at = _lowest(begin, F.col("window"))
+    rows = rows.where(F.get("following", at).eqNullSafe(at))
+    first, last = F.col("first"), F.col("last")
+    rows = rows.select(*_KEY, "cut", "first", "last", _lines_of(first, last - first + 1).alias("run"))
     return rows.select(
         *_KEY,
-        F.array_min(run).alias("mark"),
-        F.xxhash64(run).alias("gram"),
+        F.array_min("run").alias("mark"),
+        F.xxhash64("run").alias("gram"),
         F.get("cut", first).alias("s"),
-        (F.get("cut", first + size) - 1).alias("e"),
+        (F.get("cut", last + 1) - 1).alias("e"),
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketmatch.llm import decontaminate, line_dedup, near_dedup
 from basketmatch.llm.components import components
+from basketmatch.llm.scratch import stored
 from tests.llm.odd_rows import ODD
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so", "ti") for b in ("ba", "de", "fi", "go", "hu", "xo")]
@@ -212,6 +213,29 @@ def test_removed_lines_equal_all_pairs_of_places(spark, make):
     assert any(r.removed for r in out.values()) and any(r.text for r in out.values())
 
 
+def test_minima_of_all_windows_come_from_one_compiled_loop(spark, make):
+    rng = random.Random(16)
+    sizes = [[1] * 50, [1, 19, 20, 21, 1], [19, 1, 1, 1, 19, 2, 30], [20], [19], [4, 5, 6]]
+    sizes += [[rng.choice([1, 1, 2, 3, 9, 15, 40]) for _ in range(rng.randint(1, 60))] for _ in range(20)]
+    rows = [(i, " ".join(prose(rng, n) + "." for n in ns)) for i, ns in enumerate(sizes)]
+    listed = stored(line_dedup._listed(make(rows)), "lines")
+    found = line_dedup._minima(listed)
+    got = {(r.doc_id, r.at) for r in found.collect()}
+    want = set()
+    for r in listed.collect():
+        for a in range(len(r.n)):
+            for b in range(a, len(r.n)):
+                words = sum(r.n[a : b + 1])
+                if words >= line_dedup.MIN_WORDS > max(words - r.n[a], words - r.n[b]):
+                    want.add((r.doc_id, min(range(a, b + 1), key=lambda k: (r.h[k], -k))))
+    assert got == want and len(want) > 100
+    # Apart, or too large to be compiled, each row would carry the arrays of its text.
+    plan = found._jdf.queryExecution().executedPlan()
+    assert not re.search(r"- (Generate|Filter) ", plan.toString())
+    loops = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenStringSeq(plan)
+    assert all(loops.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(loops.size()))
+
+
 def test_frequent_lines_beside_a_rare_one_do_not_hide_it(spark, make):
     rng = random.Random(15)
     line = lambda n: prose(rng, n).capitalize() + "."
