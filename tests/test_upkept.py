@@ -9,6 +9,8 @@ from helpers import BRIDGE, at, table
 
 from basketmatch.operators.coverage import coverage
 from basketmatch.streaming import folds, upkept
+from workload import changes as workload_changes
+from workload.registry import QUERIES
 
 SCHEMA = "scope_id string, key string, op string, value string, ts timestamp, seq long"
 
@@ -85,3 +87,17 @@ def test_clears_tell_what_they_delete(spark):
     for limit in (None, 2):
         got = folds.clear_results(spark.createDataFrame(rows, SCHEMA), limit).collect()
         assert {r.seq: r.deleted for r in got} == want and len(got) == len(want)
+
+
+def test_a_source_of_many_files_is_streamed_in_four_batches(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    kinds = ["purchase", "error", "signup", "view"]
+    rows = [(i, at(i * 20), rng.randint(1, 3), rng.choice(kinds), 1.0, f'{{"k": {rng.randint(0, 6)}}}') for i in range(80)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    events.repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(workload_changes, "_run_folder", lambda t: f"{tmp_path}/run")
+    streamed = QUERIES["stream_change_results"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, streamed)) == sorted(map(str, QUERIES["change_results"](spark, str(tmp_path)).collect()))
+    assert len(streamed) > 20
+    assert len(list((tmp_path / "run" / "source").glob("*.parquet"))) > 4
+    assert sorted(x.name for x in (tmp_path / "run" / "results").glob("batch=*")) == [f"batch={i}" for i in range(4)]
